@@ -2,8 +2,8 @@
 
 A text is read as overlapping windows of `SPAN` words.  A word's input joins a
 trained vector of its own (known words), the mean of trained vectors of its
-hashed character trigrams, and a fixed number: how strongly the word went with
-the label among the training texts.  States of both directions are pooled by a
+hashed character trigrams, and two fixed numbers: how strongly the word, and the
+most telling six bytes in it, went with the label among the training texts.  States of both directions are pooled by a
 softmax over a trained direction; a logistic unit gives the window's score.  A
 document scores the maximum of all its windows.
 
@@ -27,12 +27,14 @@ from rulegrain.llm.common import ALNUM, chunks, mix64, spelt, utf8
 from rulegrain.llm.quality import fitting_sample, held_out
 
 HELD, CUT = (5, 0), 0.5
-#: Labelled documents used for training at most; small samples are gone through until STEPS batches were seen.
+#: Labelled documents used for training at most.
 FIT_ROWS = 6_000
 SPAN, STEP = 48, 32
 HIDDEN, OWN, CHARS = 12, 8, 8
-BUCKETS, KNOWN, LEAST_DOCS = 4096, 8192, 3
-EPOCHS, STEPS, BATCH, RATE = 4, 300, 128, 0.01
+BUCKETS, SIXES, KNOWN, LEAST_DOCS, LEAST_SHARE = 4096, 1 << 16, 8192, 3, 0.004
+STEPS, BATCH, RATE, DECAY = 600, 128, 0.01, 1e-3
+#: One document in so many is left out of the steps; training ends when its log loss hasn't fallen for PATIENCE looks, LOOK steps apart.
+ASIDE, LOOK, PATIENCE = 5, 20, 7
 
 
 def _sigmoid(x):
@@ -49,6 +51,26 @@ def trigrams(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (mix64(code) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def sixes(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A bucket for each byte of the words end to end: up to six bytes from it on, and whether it begins the word."""
+    code = np.zeros(len(letters), np.uint64)
+    code[places[:-1]] = np.uint64(1) << np.uint64(56)
+    left = np.repeat(places[1:], np.diff(places)) - np.arange(len(letters))
+    for j in range(6):
+        code[: len(letters) - j] |= np.where(left[: len(letters) - j] > j, letters[j:], 0).astype(np.uint64) << np.uint64(8 * j)
+    return (mix64(code) % np.uint64(SIXES)).astype(np.int64)
+
+
+def _telling(row: np.ndarray, code: np.ndarray, n_codes: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents with each code, standard score of its documents' labels), each code once a document."""
+    pair = np.unique(row.astype(np.int64) * n_codes + code)
+    of, label = pair % n_codes, y[pair // n_codes]
+    n1, n = np.bincount(of, label, n_codes), np.bincount(of, minlength=n_codes)
+    share = n / len(y)
+    z = (n1 - share * y.sum()) / np.sqrt(np.maximum(share * (1 - share) * y.sum() * (1 - y.mean()), 1e-9) + 0.5)
+    return n, (np.clip(z, -8, 8) / 4).astype(np.float32)
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, length) of the windows of all rows; together they hold every word."""
     n = np.diff(first)
@@ -62,10 +84,10 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Network:
     """Parameters by name; words are known by hash."""
 
-    def __init__(self, rate: float, known: np.ndarray, telling: np.ndarray, seed: int = 5):
+    def __init__(self, rate: float, known: np.ndarray, telling: np.ndarray, inner: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.rate, self.known, self.telling, self.trained = rate, known, telling.astype(np.float32), False
-        size = OWN + CHARS + 1
+        self.rate, self.known, self.telling, self.inner, self.trained, self.scale = rate, known, telling.astype(np.float32), inner, False, (1.0, 0.0)
+        size = OWN + CHARS + 2
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"own": 0.1 * draw(len(known) + 1, OWN), "chars": draw(BUCKETS, CHARS) * 8, "wa": np.zeros(2 * HIDDEN, np.float32), "wo": draw(2 * HIDDEN, 1)[:, 0], "bo": np.full(1, np.log(rate / (1 - rate)), np.float32)}
         for d in "fb":
@@ -78,12 +100,15 @@ class Network:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, at, len(self.known))
 
-    def inputs(self, ids: np.ndarray, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def strongest(self, six: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(self.inner[six], places[:-1])
+
+    def inputs(self, ids: np.ndarray, grams: np.ndarray, six: np.ndarray, places: np.ndarray) -> np.ndarray:
         own = self.p["own"][ids].copy()
         own[ids == len(self.known)] = 0
         lengths = np.diff(places).astype(np.float32)[:, None]
         chars = np.add.reduceat(self.p["chars"][grams], places[:-1], axis=0) / lengths
-        return np.concatenate([own, chars, np.append(self.telling, np.float32(0))[ids][:, None]], axis=1)
+        return np.concatenate([own, chars, np.append(self.telling, np.float32(0))[ids][:, None], self.strongest(six, places)[:, None]], axis=1)
 
     def run(self, x: np.ndarray, at: np.ndarray, length: np.ndarray, keep: bool = False):
         """Logits of windows; x holds inputs of word types, at (windows, SPAN) their indices."""
@@ -110,9 +135,9 @@ class Network:
         logit = pooled @ self.p["wo"] + self.p["bo"][0]
         return (logit, (states, saved, alpha, pooled, live)) if keep else logit
 
-    def gradients(self, ids, grams, places, at, length, y):
+    def gradients(self, ids, grams, six, places, at, length, y):
         """Gradients of the mean log loss by backpropagation through time."""
-        x = self.inputs(ids, grams, places)
+        x = self.inputs(ids, grams, six, places)
         logit, (states, saved, alpha, pooled, live) = self.run(x, at, length, keep=True)
         out = {k: np.zeros_like(v) for k, v in self.p.items()}
         dl = ((_sigmoid(logit) - y) / len(y)).astype(np.float32)
@@ -127,7 +152,7 @@ class Network:
             u = self.p[f"U{d}"]
             side = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
             dh = np.zeros((len(y), HIDDEN), np.float32)
-            dw = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            every = np.empty((SPAN, len(y), 3 * HIDDEN), np.float32)
             for t in steps:
                 h, z, reset, c, rc = saved[d, t]
                 dh = dh + dstates[:, t, side]
@@ -136,15 +161,16 @@ class Network:
                 da = np.concatenate([-on * (c - h) * z * (1 - z), dc * rc * reset * (1 - reset), dc], axis=1)
                 dr = da.copy()
                 dr[:, 2 * HIDDEN :] *= reset
-                np.add.at(dw, at[:, t], da)
+                every[t] = da
                 out[f"U{d}"] += h.T @ dr
                 dh = dh - on * (1 - z) + dr @ u.T
+            dw = _added(every.reshape(-1, 3 * HIDDEN), at.T.reshape(-1), len(x))
             out[f"W{d}"], out[f"b{d}"] = x.T @ dw, dw.sum(axis=0)
             dx += dw @ self.p[f"W{d}"].T
-        np.add.at(out["own"], ids, dx[:, :OWN])
+        out["own"] = _added(dx[:, :OWN], ids, len(out["own"]))
         out["own"][len(self.known)] = 0
         lengths = np.diff(places)
-        np.add.at(out["chars"], grams, np.repeat(dx[:, OWN : OWN + CHARS] / lengths[:, None], lengths, axis=0))
+        out["chars"] = _added(np.repeat(dx[:, OWN : OWN + CHARS] / lengths[:, None], lengths, axis=0), grams, BUCKETS)
         return out
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -157,7 +183,7 @@ class Network:
         lengths = np.diff(places)[sample]
         own_places = np.concatenate([[0], np.cumsum(lengths)])
         own_letters = letters[np.repeat(places[sample] - own_places[:-1], lengths) + np.arange(own_places[-1])]
-        x = self.inputs(self.word_ids(types), trigrams(own_letters, own_places), own_places)
+        x = self.inputs(self.word_ids(types), trigrams(own_letters, own_places), sixes(own_letters, own_places), own_places)
         row, start, length = windows(first)
         best = np.full(len(off) - 1, -np.inf)
         for lo in range(0, len(row), 4096):
@@ -165,38 +191,64 @@ class Network:
             where = np.minimum(start[part][:, None] + np.arange(SPAN), len(at) - 1)
             np.maximum.at(best, row[part], self.run(x, at[where], length[part]))
         has = best > -np.inf
-        out[has] = _sigmoid(best[has])
+        out[has] = _sigmoid(self.scale[0] * best[has] + self.scale[1])
         return out
 
 
+def _added(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their target, of n targets."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    order = np.argsort(to, kind="stable")
+    at = to[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 def _fast(x):
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
+def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of y on logit, by damped Newton steps from (1, 0)."""
+    x, w = np.stack([logit, np.ones(len(y))], axis=1), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = _sigmoid(x @ w)
+        grad = x.T @ (p - y) + 0.1 * (w - [1.0, 0.0])
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        w = w - 0.5 * np.linalg.solve(hess, grad)
+    return (float(w[0]), float(w[1])) if w[0] > 0.05 and np.isfinite(w).all() else (1.0, 0.0)
+
+
 def train(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     rate = float((y.sum() + 1) / (len(y) + 2))
     if len(set(y.tolist())) < 2:
-        return Network(rate, np.empty(0, np.uint64), np.empty(0))
+        return Network(rate, np.empty(0, np.uint64), np.empty(0), np.zeros(SIXES, np.float32))
     raw, off = utf8(texts)
     hashes, first, letters, places = _pieces(raw, off)
     row = np.repeat(np.arange(len(y)), np.diff(first))
-    types, at = np.unique(hashes, return_inverse=True)
+    types, sample, at = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = np.diff(places)[sample]
+    own = np.concatenate([[0], np.cumsum(lengths)])
+    letters = letters[np.repeat(places[sample] - own[:-1], lengths) + np.arange(own[-1])]
+    grams, six = trigrams(letters, own), sixes(letters, own)
     pair = np.unique(row.astype(np.int64) * len(types) + at)
-    by_type = pair % len(types)
-    n1 = np.bincount(by_type, y[pair // len(types)], len(types))
-    n = np.bincount(by_type, minlength=len(types))
-    share = n / len(y)
-    z = (n1 - share * y.sum()) / np.sqrt(np.maximum(share * (1 - share) * y.sum() * (1 - y.mean()), 1e-9) + 0.5)
-    common = np.flatnonzero(n >= LEAST_DOCS)
+    prow, ptype = pair // len(types), pair % len(types)
+    n, z = _telling(prow, ptype, len(types), y)
+    common = np.flatnonzero(n >= max(LEAST_DOCS, LEAST_SHARE * len(y)))
     common = np.sort(common[np.argsort(-n[common], kind="stable")[:KNOWN]])
-    telling = np.clip(z[common], -8, 8) / 4
-    net = Network(rate, types[common], telling, seed)
+    codes = []
+    for part in np.array_split(np.arange(len(pair)), max(1, len(pair) // 100_000)):
+        of, to = _expand(ptype[part], own)
+        codes.append(np.unique(prow[part][of] * SIXES + six[to]))
+    codes = np.concatenate(codes)
+    net = Network(rate, types[common], z[common], _telling(codes // SIXES, codes % SIXES, SIXES, y)[1], seed)
     net.trained = True
 
-    ids = net.word_ids(hashes)
-    strength = np.append(net.telling, 0)[ids]
+    ids = net.word_ids(types)
+    strength = np.maximum(np.append(net.telling, 0)[ids], net.strongest(six, own))[at]
     wrow, start, length = windows(first)
-    where = np.minimum(start[:, None] + np.arange(SPAN), len(ids) - 1)
+    where = np.minimum(start[:, None] + np.arange(SPAN), len(at) - 1)
     live = np.arange(SPAN)[None] < length[:, None]
     top = np.where(live, strength[where], -np.inf).max(axis=1)
     order = np.lexsort((start, -top, wrow))
@@ -205,27 +257,60 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     more = rng.permutation(len(wrow))
     more = more[np.unique(wrow[more], return_index=True)[1]]
     chosen = np.concatenate([chosen, more[y[wrow[more]] == 0]])
+    aside = wrow[chosen] % ASIDE == 0
+    held, used = chosen[aside], chosen[~aside]
+    if not len(used) or not len(held):
+        held = used = chosen
+    held = held[np.unique(wrow[held], return_index=True)[1]]
+
+    def batch(part):
+        part_types, idx = np.unique(at[where[part]].reshape(-1), return_inverse=True)
+        of, to = _expand(part_types, own)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part_types)))])
+        return ids[part_types], grams[to], six[to], ends, idx.reshape(len(part), SPAN), length[part], y[wrow[part]].astype(np.float32)
+
+    def logits(part) -> np.ndarray:
+        ids_of, g, x, ends, idx, size, _ = batch(part)
+        return net.run(net.inputs(ids_of, g, x, ends), idx, size)
+
+    def loss() -> float:
+        p, truth = np.clip(_sigmoid(logits(held)), 1e-6, 1 - 1e-6), y[wrow[held]]
+        return float(-(truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean())
 
-    grams_all = trigrams(letters, places)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(chosen)))):
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
-            part_types, sample, idx = np.unique(hashes[where[part]].reshape(-1), return_index=True, return_inverse=True)
-            tokens = where[part].reshape(-1)[sample]
-            lengths = np.diff(places)[tokens]
-            own = np.concatenate([[0], np.cumsum(lengths)])
-            grams = grams_all[np.repeat(places[tokens] - own[:-1], lengths) + np.arange(own[-1])]
-            grads = net.gradients(net.word_ids(part_types), grams, own, idx.reshape(len(part), SPAN), length[part], y[wrow[part]].astype(np.float32))
-            step += 1
-            for k, g in grads.items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    best, waited = (loss(), {k: v.copy() for k, v in net.p.items()}), 0
+    for step in range(1, STEPS + 1):
+        part = rng.choice(used, min(BATCH, len(used)), replace=False)
+        for k, g in net.gradients(*batch(part)).items():
+            m, v = moment[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            net.p[k] = net.p[k] * (1 - RATE * DECAY) - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        if step % LOOK == 0:
+            now = loss()
+            if now < best[0]:
+                best, waited = (now, {k: v.copy() for k, v in net.p.items()}), 0
+            elif (waited := waited + 1) == PATIENCE:
+                break
+    net.p = best[1]
+    # a maximum over many windows is higher than one window's logit: fit slope and offset on whole texts set aside
+    whole = np.flatnonzero(wrow % ASIDE == 0)
+    out = np.full(len(y), -np.inf)
+    for lo in range(0, len(whole), 2048):
+        np.maximum.at(out, wrow[whole[lo : lo + 2048]], logits(whole[lo : lo + 2048]))
+    has = out > -np.inf
+    if has.any() and len(set(y[has].tolist())) == 2:
+        net.scale = _calibrated(out[has], y[has])
     return net
 
 
+def _expand(types: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of types, byte) for all bytes of the types."""
+    lengths = places[types + 1] - places[types]
+    of = np.repeat(np.arange(len(types)), lengths)
+    return of, np.repeat(places[types] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(of))
+
+
 def _pieces(raw, off):
     hashes, first, letters, places = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)]
     n_words = n_letters = 0
@@ -243,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = HELD, rows
     table = fitting_sample(docs, labels, "toxic", held, rows).orderBy(F.xxhash64("doc_id"), "y", "text").toArrow()  # FIT_ROWS rows at most
     y = table.column("y").to_numpy().astype(np.float64)
     if not len(y):
-        return Network(0.5, np.empty(0, np.uint64), np.empty(0))
+        return Network(0.5, np.empty(0, np.uint64), np.empty(0), np.zeros(SIXES, np.float32))
     return train(table.column("text"), y)
 
 
