@@ -430,7 +430,7 @@ def patch_apply(spark, d):
     return store.apply_patch(old, store.patch(old, new), new)
 
 
-@query("SELECT p_brand, CASE WHEN min(p_partkey) % 3 = 0 THEN 0 WHEN min(p_partkey) % 3 = 1 THEN 1 ELSE 2 END FROM part GROUP BY 1")
+@query("SELECT p_brand, CASE WHEN min(p_partkey) % 3 = 0 THEN 0 WHEN min(p_partkey) % 3 = 1 THEN 1 ELSE 2 END AS tier FROM part GROUP BY 1")
 def embed_cache_join(spark, d):
     words = vector.KeywordEmbedder([["brand"]])
     p = _t(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k")).withColumnRenamed("p_brand", "text")
