@@ -57,7 +57,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.kinds: list[str] = []
-        self.stack: list[tuple[str, int, bool]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, number, and 1 in a dropped block, 2 in a dropped inline element
         self.text: list[str] = []
         self.tags = 0
 
@@ -78,14 +78,14 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
             ends = {"p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
             self._implied_end(ends)
-        dropped = bool(self.stack) and self.stack[-1][2]
+        dropped = self.stack[-1][2] if self.stack else 0
         attrs = dict(attrs)
         if tag in ("article", "main"):
-            dropped = False if not set(inside) & {"dialog", "template", "noscript"} else dropped
+            dropped = 0 if not set(inside) & {"dialog", "template", "noscript"} else dropped
         own = tag in DROPPED or (tag == "header" and "article" not in inside and "main" not in inside)
         if not own and tag not in ("html", "body", "article", "main", "h1"):
             own = _named_away(attrs)
-        self.stack.append((tag, len(self.kinds), dropped or own))
+        self.stack.append((tag, len(self.kinds), max(dropped, (1 if tag in BLOCK else 2) if own else 0)))
         self.kinds.append("main" if attrs.get("role") == "main" else tag)
 
     def _implied_end(self, ends: tuple[str, ...]) -> None:
@@ -107,7 +107,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.text.append(data)
+        if not self.stack or self.stack[-1][2] < 2:
+            self.text.append(data)
 
     def end(self) -> None:
         self.close()

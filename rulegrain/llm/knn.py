@@ -12,7 +12,8 @@ doesn't grow with the tables.  Scores of components too large for exact double
 arithmetic are summed as Python integers.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
-components take no part; only vectors of the query's length are candidates;
+components take no part, nor do those whose squared length in integers doesn't
+fit a long (for all others every score does); only vectors of the query's length are candidates;
 rows without id take no part; repeated ids are separate rows; equal scores go to
 the smaller id; fewer candidates than k are all returned; a query whose id is
 repeated is answered once per id by the union of its rows' candidates.
@@ -128,7 +129,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     vectors and queries: (id long, v array<double>).
     """
-    sound = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (F.abs(x) * SCALE + 1) * (F.abs(x) * SCALE + 1))
+    sound = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (square < 2.0**62)
     vectors = materialise(vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(sound).withColumn("d", F.size("v")), "vectors")
     queries = materialise(queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(sound).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.size("v").alias("qd")), "queries")
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
