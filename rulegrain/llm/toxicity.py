@@ -28,7 +28,7 @@ from rulegrain.llm.quality import fitting_sample, held_out
 
 HELD, CUT = (5, 0), 0.5
 #: Labelled documents used for training at most.
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 SPAN, STEP = 48, 32
 HIDDEN, OWN, CHARS = 12, 8, 8
 BUCKETS, SIXES, KNOWN, LEAST_DOCS, LEAST_SHARE = 4096, 1 << 16, 8192, 3, 0.004
@@ -61,14 +61,11 @@ def sixes(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (mix64(code) % np.uint64(SIXES)).astype(np.int64)
 
 
-def _telling(row: np.ndarray, code: np.ndarray, n_codes: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents with each code, standard score of its documents' labels), each code once a document."""
-    pair = np.unique(row.astype(np.int64) * n_codes + code)
-    of, label = pair % n_codes, y[pair // n_codes]
-    n1, n = np.bincount(of, label, n_codes), np.bincount(of, minlength=n_codes)
+def _telling(n1: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Standard scores of the labels of n documents with n1 positive ones, cut to 8 and scaled."""
     share = n / len(y)
     z = (n1 - share * y.sum()) / np.sqrt(np.maximum(share * (1 - share) * y.sum() * (1 - y.mean()), 1e-9) + 0.5)
-    return n, (np.clip(z, -8, 8) / 4).astype(np.float32)
+    return (np.clip(z, -8, 8) / 4).astype(np.float32)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,15 +231,19 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     grams, six = trigrams(letters, own), sixes(letters, own)
     pair = np.unique(row.astype(np.int64) * len(types) + at)
     prow, ptype = pair // len(types), pair % len(types)
-    n, z = _telling(prow, ptype, len(types), y)
+    n = np.bincount(ptype, minlength=len(types))
+    z = _telling(np.bincount(ptype, y[prow], len(types)), n, y)
     common = np.flatnonzero(n >= max(LEAST_DOCS, LEAST_SHARE * len(y)))
     common = np.sort(common[np.argsort(-n[common], kind="stable")[:KNOWN]])
-    codes = []
-    for part in np.array_split(np.arange(len(pair)), max(1, len(pair) // 100_000)):
+    ones, all_ = np.zeros(SIXES), np.zeros(SIXES)
+    for docs in np.array_split(np.arange(len(y)), max(1, len(y) // 64)):
+        part = slice(*np.searchsorted(prow, [docs[0], docs[-1] + 1]))
         of, to = _expand(ptype[part], own)
-        codes.append(np.unique(prow[part][of] * SIXES + six[to]))
-    codes = np.concatenate(codes)
-    net = Network(rate, types[common], z[common], _telling(codes // SIXES, codes % SIXES, SIXES, y)[1], seed)
+        code = np.unique(prow[part][of] * SIXES + six[to])
+        all_ += np.bincount(code % SIXES, minlength=SIXES)
+        ones += np.bincount(code % SIXES, y[code // SIXES], SIXES)
+    net = Network(rate, types[common], z[common], _telling(ones, all_, y), seed)
+    del pair, prow, ptype
     net.trained = True
 
     ids = net.word_ids(types)
