@@ -8,11 +8,12 @@ confirmed on their full sets.
 
 Texts with equal sets fall into one class first.  A band bucket is linked by a
 star to its smallest member, never by all its pairs.  Buckets whose members
-then lie in several components are gone through again, in tiles of bounded size
-inside which signatures are compared block against block: in rounds, each member
-names its most similar one of another component, until no round finds a link;
-then all pairs of different components that are left are confirmed, so no
-candidate is lost.  Components come from alternating large and small stars.
+then lie in several components are gone through once more: the rows outside the
+bucket's largest component are held against all its rows, in tiles of bounded
+size.  Within a tile, signatures choose the pairs whose full sets are
+intersected there and then; only links between different components leave it, one for
+each row and component, so no link is lost and no pairs are listed.  Components come
+from alternating large and small stars.
 
 Defined cases: null or blank texts have empty sets and no link; fewer words
 than a shingle are one shingle; rows that share a doc_id count as one document;
@@ -38,8 +39,8 @@ K = BANDS * ROWS
 LONGS = (K + 63) // 64
 #: Lowest estimate that is still confirmed: 0.75 less about 3.6 standard errors (0.031) of 288 two-bit minima.
 ESTIMATE = 0.64
-#: Rows of a tile in which signatures are compared.
-TILE = 512
+#: Rows, and shingles, of one side of a tile in which signatures and sets are compared (on average; one document may be larger).
+TILE, TILE_SHINGLES = 512, 500_000
 #: Bits of the filter that spares texts without candidates from a second shingling; of fixed size.
 FILTER_BITS = 1 << 25
 
@@ -199,51 +200,61 @@ def _disagreeing(x: str, y: str):
     return reduce(lambda p, q: p + q, [F.bit_count(word(j)) for j in range(LONGS)])
 
 
-def _tile_pairs(left, right, best: bool = False):
-    """Pairs of one tile in different components whose estimate reaches ESTIMATE, or the best for each left row; signatures are compared, pairs are not listed."""
+def _open_rows(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, comp, main, parts) of the buckets that hold several components; main: of the bucket's largest one."""
+    placed = members.join(comp, "node", "left").select("key", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("comps > 1")
+    mixed = mixed.select("key", "big", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int").alias("parts"))
+    return materialise(placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") == F.col("big")).alias("main"), "parts"), "open")
+
+
+def _links_of_tile(left, right, percent: int):
+    """Confirmed pairs of one tile: for each left row, one with each other component that it has a link to."""
 
     def arrays(table):
-        n = table.num_rows
-        sig = table.column(5).combine_chunks()
-        return table.column(3).to_numpy(), table.column(4).to_numpy(), np.asarray(sig.flatten()).view(np.uint64).reshape(n, PLANES * LONGS)
+        sig, sets = (table.column(k).combine_chunks() for k in (5, 6))
+        bits = np.asarray(sig.flatten()).view(np.uint64).reshape(table.num_rows, PLANES * LONGS)
+        return table.column(2).to_numpy(), table.column(3).to_numpy(), bits, np.asarray(sets.value_lengths()), np.asarray(sets.flatten())
 
-    a, b = [], []
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if left.num_rows and right.num_rows:
-        (na, ca, sa), (nb, cb, sb) = arrays(left), arrays(right)
+        (na, ca, sa, la, ga), (nb, cb, sb, lb, gb) = arrays(left), arrays(right)
+        main = right.column(4).to_numpy()
+        codes = np.unique(np.concatenate([ga, gb]), return_inverse=True)[1]
+        mine, theirs = np.split(codes[: len(ga)], np.cumsum(la)[:-1]), codes[len(ga) :]
+        begins, present = np.cumsum(lb) - lb, np.zeros(len(codes), bool)
         for i in range(len(na)):
             x = sb ^ sa[i]
             differ = np.bitwise_count(x[:, :LONGS] | x[:, LONGS:]).sum(axis=1)
-            hit = np.flatnonzero((estimated(differ) >= ESTIMATE) & (cb != ca[i]))
-            if best and len(hit) > 1:
-                hit = hit[[np.argmin(differ[hit])]]
-            lo, hi = np.minimum(nb[hit], na[i]), np.maximum(nb[hit], na[i])
-            a.append(lo)
-            b.append(hi)
-    empty = np.empty(0, np.int64)
-    pair = np.unique(np.stack([np.concatenate([empty, *a]), np.concatenate([empty, *b])]), axis=1)
-    return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
-
-
-def _open_tiles(members: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame | None:
-    """Rows (key, node, comp, sig, part, parts) of the buckets that hold several components; None if there are none."""
-    placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    rows = materialise(placed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "open")
-    return None if rows.isEmpty() else materialise(rows.join(sigs, "node"), "tiles")
-
-
-def _pairs_of(tiles: DataFrame, best: bool) -> DataFrame:
-    def side(name: str, tile):
-        """Rows for each tile they belong to; names differ by side so that a table can meet itself."""
-        columns = ["key", F.col("tile.p"), F.col("tile.q"), "node", "comp", "sig"]
-        named = [f"{name}_{c}" for c in ("key", "p", "q", "node", "comp", "sig")]
-        return tiles.select("key", F.explode(tile).alias("tile"), "node", "comp", "sig").select(*columns).toDF(*named).groupBy(*named[:3])
-
-    after = F.transform(F.sequence("part", F.col("parts") - 1), lambda t: F.struct(F.col("part").alias("p"), t.alias("q")))
-    until = F.transform(F.sequence(F.lit(0), F.col("part")), lambda t: F.struct(t.alias("p"), F.col("part").alias("q")))
-    compare = lambda left, right: _tile_pairs(left, right, best)
-    return side("left", after).cogroup(side("right", until)).applyInArrow(compare, "a long, b long").distinct()
+            hit = np.flatnonzero((estimated(differ) >= ESTIMATE) & (cb != ca[i]) & (main | (nb > na[i])))
+            if not len(hit):
+                continue
+            present[mine[i]] = True
+            common = np.add.reduceat(present[theirs], begins, dtype=np.int64)[hit]
+            present[mine[i]] = False
+            hit = hit[common * 100 >= percent * (la[i] + lb[hit] - common)]
+            hit = hit[np.unique(cb[hit], return_index=True)[1]]
+            a.append(np.full(len(hit), na[i]))
+            b.append(nb[hit])
+    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+
+def _tile_links(docs: DataFrame, rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components within the buckets of rows: the rows outside a bucket's largest
+    component meet all its rows, which are dealt into parts of bounded size."""
+    wanted = materialise(rows.select("node").distinct(), "wanted")
+    full = materialise(_sets_of(docs, wanted).join(sigs, "node"), "sets")
+
+    def side(name: str, chosen: DataFrame, part):
+        """Names differ by side so that a table can meet itself."""
+        put = chosen.withColumn("part", part).join(full, "node").select("key", "part", "node", "comp", "main", "sig", "shingles")
+        named = put.toDF(*[f"{name}_{c}" for c in put.columns])
+        return named.groupBy(*named.columns[:2])
+
+    left = side("left", rows.where("not main"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = side("right", rows, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return left.cogroup(right).applyInArrow(lambda x, y: _links_of_tile(x, y, percent), "a long, b long").distinct()
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,7 +264,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialise(classes, "classes")
     nodes = sig.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
 
-    rows = nodes.select("node", F.explode("keys").alias("key"))
+    rows = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     members = materialise(rows.join(buckets, "key"), "members")
     sigs = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sig"), "node-sigs")
@@ -261,18 +272,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
     stars = stars.where(estimated(_disagreeing("x", "y")) >= ESTIMATE).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialise(confirmed(docs, materialise(stars, "stars"), percent), "linked")
-    while True:
-        comp = materialise(connected(linked), "components")
-        tiles = _open_tiles(members, comp, sigs)
-        if tiles is None:
-            graph = linked
-            break
-        found = confirmed(docs, materialise(_pairs_of(tiles, best=True), "best"), percent)
-        new = materialise(found, "new")
-        if new.isEmpty():
-            graph = materialise(linked.union(confirmed(docs, materialise(_pairs_of(tiles, best=False), "rest"), percent)), "graph")
-            break
-        linked = materialise(linked.union(new), "linked")
+    rows = _open_rows(members, materialise(connected(linked), "components"))
+    graph = linked if rows.isEmpty() else materialise(linked.union(_tile_links(docs, rows, sigs, percent)), "graph")
     comp = materialise(connected(graph), "components")
 
     # copies of a class hang under its node
