@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.functions import address, canon, vector
+from rulegrain.functions import address, canon, patterns, vector
+from rulegrain.functions.registry import standard_registry
 from rulegrain.operators import geometry, governance, store
 from rulegrain.plans.backward import prove
 from rulegrain.plans.forward import Context, evaluate
@@ -272,6 +273,29 @@ def simhash(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", canon.simhash(F.col("text")).alias("hash"))
 
 
+def _router(spark) -> patterns.Router:
+    router = patterns.Router()
+    router.add(spark, "click", ['{"a": 1, "b": 2}'], "json")
+    router.add(spark, "path", ["https://example.com/page/1", "http://example.org/item/7"], "log")
+    router.add(spark, "any", ["x"], "auto", 64)
+    return router
+
+
+@query()
+def canon_route(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", F.col("url"))
+    found = pages.withColumn("m", _router(spark).classify(F.col("url")))
+    return found.select("page_id", F.col("m.label").alias("label"), F.col("m.score").alias("score"))
+
+
+@query()
+def canon_match_rules(spark, d):
+    facts = _t(spark, d, "pages").select("page_id", F.struct("url").alias("Page"))
+    rules = 'rule "Path" no-loop { when b_canon_matches(Page.url, "path") then Page.path = true; Page.label = m_canon_label(Page.url); }'
+    out = evaluate(facts, rules, Context(registry=standard_registry(_router(spark))))
+    return out.select("page_id", F.col("Page.path").alias("path"), F.col("Page.label").alias("label"))
+
+
 @query()
 def near_dup_first(spark, d):
     rows = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), canon.simhash(F.col("text")).alias("h"))

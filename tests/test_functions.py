@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rulegrain.functions import address, canon, vector
+from rulegrain.functions import address, canon, patterns, vector
 from rulegrain.operators import geometry, store
 
 MASKED = {
@@ -65,6 +65,42 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r["id"]: r["first"] for r in store.near_duplicates(df, "id", "h").collect()} == want
 
 
+def test_pattern_sets_score_and_route(spark):
+    def simhash(text):
+        def fnv(s):
+            h = 0xCBF29CE484222325
+            for b in s.encode():
+                h = ((h ^ b) * 0x100000001B3) % 2**64
+            return h
+
+        words = text.split()
+        return sum(1 << i for i in range(64) if 2 * sum(fnv(t) >> i & 1 for t in words) > len(words))
+
+    sets = {"disk": (["the disk of node 7 is full"], 20), "login": (["user bob logged in", "user has gone"], 6), "empty": ([], 64), "also": (["the disk of node 8 is full"], 6)}
+    router = patterns.Router()
+    for label, (examples, threshold) in sets.items():
+        assert router.add(spark, label, examples, "log", threshold) == len(examples)
+    texts = ["the disk of node 99 is full", "the disk of node 5 is now full", "user bob logged in", "user bob logged out", "", "something else altogether", None]
+    masked = lambda t: " ".join("<*>" if w.isdigit() else w for w in t.split())
+
+    def score(text, label):
+        examples, threshold = sets.get(label, ([], 0))
+        if text is None or not examples:
+            return None
+        best = min((simhash(masked(text)) ^ simhash(masked(e))).bit_count() for e in examples)
+        return 1.0 if masked(text) in map(masked, examples) else 1 - best / 64 if best <= threshold else None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", *(router.score(F.col("t"), F.lit(x)).alias(x) for x in [*sets, "unknown"]), router.classify(F.col("t")).alias("best")).collect()
+    for row in got:
+        want = {x: score(row["t"], x) for x in [*sets, "unknown"]}
+        assert {x: row[x] for x in want} == want
+        top = max(((s, x) for x, s in want.items() if s is not None), key=lambda p: p[0], default=None)
+        named = top and (min(x for x, s in want.items() if s == top[0]), top[0])
+        assert (row["best"] and tuple(row["best"])) == named
+    assert got[0]["best"]["label"] == "also" and got[6]["best"] is None
+
+
 def test_vectors(spark):
     v = vector.literal
     got = spark.range(1).select(vector.cosine(v([1, 0]), v([3, 0])), vector.dot(v([1, 0]), v([3, 0])), vector.cosine(v([0, 0]), v([1, 1])), vector.normalize(v([0, 0])), vector.percentile(F.lit(2.0), v([1, 2, 2, 3])), vector.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))).first()
