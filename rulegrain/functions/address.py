@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulegrain.functions.canon import fnv1a_hex
+from rulegrain.functions.canon import SPACE, fnv1a_hex
 
 # fixed values: token forms, and the weights of the validity score
 FORMS = {"street": "st", "avenue": "ave", "road": "rd", "lane": "ln", "drive": "dr", "boulevard": "blvd", "usa": "us"}
@@ -14,6 +14,12 @@ STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|M
 WEIGHTS = {"house_number": 0.22, "road": 0.30, "city": 0.18, "region": 0.15, "postal_code": 0.15}
 VALID = 0.72
 PARTS = tuple(WEIGHTS)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def bare(x: Column) -> Column:
+    """Without punctuation at its ends, hyphens excepted."""
+    return F.regexp_replace(x, r"^[\p{Punct}&&[^-]]+|[\p{Punct}&&[^-]]+$", "")
 
 
 def tokens(text: Column) -> Column:
@@ -52,15 +58,25 @@ def has_minimum_shape(parts: Column) -> Column:
     return parts["road"].isNotNull() & (parts["house_number"].isNotNull() | parts["postal_code"].isNotNull() | parts["city"].isNotNull())
 
 
-def canonical(parts: Column) -> Column:
-    return F.array_join(tokens(F.concat_ws(" ", *(parts[k] for k in PARTS))), " ")
+def display(parts: Column, country: Column | None = None) -> Column:
+    """"number road, city region code, country", as far as they are known; no number without a road."""
+    street = F.concat_ws(" ", F.when(parts["road"].isNotNull(), parts["house_number"]), parts["road"])
+    pieces = F.array(street, F.concat_ws(" ", parts["city"], parts["region"], parts["postal_code"]), F.lit(None).cast("string") if country is None else country)
+    return F.array_join(F.filter(pieces, lambda x: F.length(x) > 0), ", ")
+
+
+def canonical(parts: Column, country: Column | None = None) -> Column:
+    """The displayed line's words in lower case and short forms, without punctuation at their ends."""
+    forms = F.create_map(*(F.lit(x) for kv in FORMS.items() for x in kv))
+    words = F.transform(F.filter(F.split(display(parts, country), SPACE), lambda w: F.length(w) > 0), lambda w: F.translate(bare(w), UPPER, LOWER))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
 
 
 def standardize(text: Column) -> Column:
-    """struct<address, parts, canonical, key, score, valid> of a text."""
+    """struct<address, parts, display, canonical, key, score, valid> of a text."""
     address = F.coalesce(span(text), text)
     parts = components(address)
-    return F.struct(address.alias("address"), parts.alias("parts"), canonical(parts).alias("canonical"), fnv1a_hex(canonical(parts)).alias("key"), score(parts).alias("score"), (score(parts) >= VALID).alias("valid"))
+    return F.struct(address.alias("address"), parts.alias("parts"), display(parts).alias("display"), canonical(parts).alias("canonical"), fnv1a_hex(canonical(parts)).alias("key"), score(parts).alias("score"), (score(parts) >= VALID).alias("valid"))
 
 
 def match_index(queries: DataFrame, index: DataFrame, limit: int = 5, least: float = 0.5) -> DataFrame:
@@ -124,3 +140,18 @@ def lexical_vector(rows: DataFrame, id: str, text: str, dim: int = 128) -> DataF
     sums = f.groupBy(id, F.pmod("h", F.lit(dim)).cast("int").alias("pos")).agg(F.sum(F.when(F.pmod(F.shiftright("h", 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("v"))
     n = sums.groupBy(id).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     return sums.join(n, id).where("n > 0").select(id, "pos", (F.col("v") / F.col("n")).alias("value"))
+
+
+def component(text: Column, name: Column) -> Column:
+    """The named component of a text's address; null if it has none."""
+    parts = standardize(text)["parts"]
+    known = F.create_map(*(x for k in PARTS for x in (F.lit(k), parts[k])))
+    return F.try_element_at(known, name)
+
+
+def register(registry) -> None:
+    """The built-in analyser as rule functions; its confidence is the validity score."""
+    registry.register("c_addr_confidence", "c", lambda text: standardize(text)["score"], 1)
+    registry.register("m_addr_standardize", "m", lambda text: standardize(text)["canonical"], 1)
+    registry.register("m_addr_component", "m", lambda text, name: F.coalesce(component(text, name), F.lit("")), 2)
+    registry.register("b_addr_has_component", "b", lambda text, name: component(text, name).isNotNull(), 2)

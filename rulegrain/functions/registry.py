@@ -40,12 +40,13 @@ class Registry:
 
 def standard_registry(router=None) -> Registry:
     """router: the patterns.Router whose sets rules may name; without one they match nothing."""
-    from rulegrain.functions import canon, patterns, vector
+    from rulegrain.functions import address, canon, patterns, vector
 
     registry = Registry()
     registry.register("len", "c", lambda x: F.length(x.cast("string")), 1)
     registry.register_action("LogMessage", lambda call: [])
     vector.register(registry)
     canon.register(registry)
+    address.register(registry)
     (router or patterns.Router()).register(registry)
     return registry

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.functions import address, canon, patterns, vector
+from rulegrain.functions import address, canon, fields, patterns, vector
 from rulegrain.functions.registry import standard_registry
 from rulegrain.operators import geometry, governance, store
 from rulegrain.plans.backward import prove
@@ -547,6 +547,23 @@ def address_match(spark, d):
     return address.match_index(index.where("id <= 20"), index, 3)
 
 
+def _records(spark, d) -> DataFrame:
+    record = F.to_json(F.struct(F.col("c_name").alias("customer"), F.concat(F.col("c_custkey").cast("string"), F.lit(" oak street")).alias("ship_addr"), F.lit("austin").alias("town"), F.lit("tx").alias("state"), F.lit("78701").alias("zip")))
+    return _t(spark, d, "customer").select("c_custkey", record.alias("record"))
+
+
+@query("SELECT c_custkey, c_name AS customer, CAST(c_custkey AS VARCHAR) AS house_number, 'oak street' AS road, 'Austin' AS city, 'TX' AS region, '78701' AS postal_code, true AS valid FROM customer")
+def address_structured(spark, d):
+    rows = _records(spark, d).select("c_custkey", fields.standardize(F.col("record")).alias("s"))
+    return rows.select("c_custkey", *(F.col(f"s.parts.{k}").alias(k) for k in ("customer", "house_number", "road", "city", "region", "postal_code")), F.col("s.valid").alias("valid"))
+
+
+@query()
+def address_field_hints(spark, d):
+    rows = _records(spark, d).select("c_custkey", F.explode(fields.hints(F.col("record"))).alias("h"))
+    return rows.select("c_custkey", "h.*")
+
+
 @query()
 def reference_match(spark, d):
     texts = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("text"))

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rulegrain.functions import address, canon, patterns, vector
+from rulegrain.functions import address, canon, fields, patterns, vector
 from rulegrain.operators import geometry, store
 
 MASKED = {
@@ -145,3 +145,44 @@ def test_address(spark):
     assert got[0].canonical == "111 east cola ln springfield il 62701" and got[0].valid and got[0].score == 1.0
     assert got[1].address == "Royal Road, Springfield IL 62701" and got[1].parts.house_number is None
     assert not got[2].valid
+
+
+def test_structured_address_evidence(spark):
+    import json
+
+    record = {"client": "Acme Company", "shipAddr": "500 oak street", "town": "austin", "state": "tx", "zip": "78701", "nation": "usa", "kind": {"purpose": ["ship to"]}, "none": " "}
+    named = {"street": "main avenue", "house_number": "#12", "x": {"city": "new york", "n": None}}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, json.dumps(named)), (3, "{broken"), (4, None)], "id int, j string")
+    rows = {r["id"]: r for r in df.select("id", fields.standardize(F.col("j")).alias("s"), fields.hints(F.col("j")).alias("h")).collect()}
+    first = rows[1]["s"]["parts"].asDict()
+    assert first == {"customer": "Acme Company", "address_role": "ship_to", "house_number": "500", "road": "oak street", "city": "Austin", "region": "TX", "postal_code": "78701", "country": "USA"}
+    assert rows[1]["s"]["display"] == "500 oak street, Austin TX 78701, USA"
+    assert rows[1]["s"]["canonical"] == "500 oak st austin tx 78701 us"
+    assert rows[1]["s"]["valid"] and rows[1]["s"]["score"] == 1.0
+    found = {(e["path"], e["role"]): (e["name_score"], e["content_score"], round(e["score"], 4)) for e in rows[1]["s"]["evidence"]}
+    assert found[("$.zip", "postal_code")] == (1.0, 1.0, 1.0) and found[("$.town", "city")] == (1.0, 0.65, 0.8075)
+    assert ("$.zip", "city") not in found and not any(p == "$.none" for p, _ in found)
+    assert ("$.kind.purpose[0]", "address_role") in found
+    second = rows[2]["s"]["parts"]
+    assert (second["house_number"], second["road"], second["city"]) == ("12", "Main Avenue", "New York")
+    assert [h["field"] for h in rows[2]["h"]] == ["$.house_number", "$.street", "$.x", "$.x.city", "$.x.n"]
+    assert rows[2]["h"][0]["embedding_text"] == "address field meaning: housenumber"
+    for bad in (3, 4):
+        assert rows[bad]["s"]["evidence"] == [] and rows[bad]["s"]["score"] == 0.0 and rows[bad]["h"] == []
+
+
+def test_embedding_evidence_reweighs(spark):
+    df = spark.createDataFrame([('{"zip": "78701"}', [("$.zip", "postal_code", 7.0), ("$.zip", "postal_code", 0.1), ("$.other", "city", 1.0)])], "j string, e array<struct<path:string,role:string,score:double>>")
+    got = df.select(F.explode(fields.evidence(F.col("j"), F.col("e"))).alias("x")).select("x.*").where("role = 'postal_code'").first()
+    assert got["embedding_score"] == 1.0 and math.isclose(got["score"], 0.30 + 0.35 + 0.35)
+    plain = df.select(F.explode(fields.evidence(F.col("j"), F.col("e"))).alias("x")).select("x.*").where("role = 'address_role'").first()
+    assert plain["embedding_score"] is None and math.isclose(plain["score"], 0.55)
+
+
+def test_address_rule_functions(spark):
+    from rulegrain.plans.forward import evaluate
+
+    df = spark.createDataFrame([("500 Oak Street, Austin TX 78701",), ("no address here",)], "text string").select(F.struct("text").alias("M"))
+    rules = 'rule "A" no-loop { when b_addr_has_component(M.text, "road") && c_addr_confidence(M.text) > 0.9 then M.line = m_addr_standardize(M.text); M.code = m_addr_component(M.text, "postal_code"); }'
+    got = evaluate(df, rules).select("M.line", "M.code").collect()
+    assert [tuple(r) for r in got] == [("500 oak st austin tx 78701", "78701"), (None, None)]
