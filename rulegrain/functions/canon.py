@@ -31,6 +31,8 @@ _VARIABLE = [
     r"/(?=.*[/.]).+",
 ]
 _IS_VARIABLE = "^(?:" + "|".join(_VARIABLE) + ")$"
+#: Every masked shape, and key=value and key:value, has one of these; most words have none, and one test spares them the rest.
+_MAY_VARY = r"[0-9=:./]|[A-Fa-f]{8}"
 _EDGE = r"""()\[\]{}<>"'`,;"""
 _LABEL = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 
@@ -54,7 +56,8 @@ def _token(x: Column) -> Column:
         hit = (F.length(inner) > 0) & _is_variable(inner)
         return F.when(hit, F.struct(F.concat(head, pre, F.lit(MASK), post).alias("text"), inner.alias("var"))).otherwise(F.struct(F.concat(head, whole).alias("text"), F.lit(None).cast("string").alias("var")))
 
-    return F.when(equal | colon, masked(value, value_core, F.concat(key, split))).otherwise(masked(x, core, F.lit("")))
+    fixed = F.struct(x.alias("text"), F.lit(None).cast("string").alias("var"))
+    return F.when(~F.regexp(x, F.lit(_MAY_VARY)), fixed).when(equal | colon, masked(value, value_core, F.concat(key, split))).otherwise(masked(x, core, F.lit("")))
 
 
 def tokens(text: Column) -> Column:
