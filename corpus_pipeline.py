@@ -5,10 +5,11 @@ result as Parquet to the shared scratch folder and reads it as the next docs.
 A stage works on all rows its predecessor kept, and all but the last return
 the columns of documents.
 
-Defined cases: rows without doc_id are judged by quality, and kept by the later
-stages up to the mix, which needs a doc_id to name a share; rows that share a
-doc_id share the decisions on it; further columns go through to the last stage.
-The mix leaves out documents of which it takes no word and keeps one row of each other document.
+Defined cases: rows without doc_id are judged by quality, and kept by
+near-duplicates and decontamination; rows that share a doc_id share the decisions
+on it there; further columns go through to the last stage.  The mix judges rows:
+it leaves out or repeats whole documents until a source's words meet its target,
+so a doc_id stands in the output 0, 1 or 2 times for each of its rows.
 """
 
 from __future__ import annotations

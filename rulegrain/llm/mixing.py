@@ -6,7 +6,8 @@ excess is shared again by weight (water filling).  Targets are turned into
 seats of equal blocks of words: seats go to the highest quotients
 target / (2 i - 1).  A source's words stand in a seeded order, cut into blocks;
 whole rounds come first, and the rest is a seeded systematic choice of blocks.
-A document's share is what its words have in the chosen blocks.
+A document's share is what its words have in the chosen blocks; the pipeline's
+stage, mixed(), meets the same targets with whole documents.
 
 Words are summed for (source, salt) and those sums added up, so a source with a
 third of all rows is ordered by many tasks.  The table of sources is small and
@@ -101,6 +102,26 @@ def mix(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """docs of which the mix takes words; a row's doc_id says which share it gets (see mix)."""
-    taken = mix(docs, share, seed).where("taken > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi")
+    """docs as the mix has them: each row is left out, stands once or is repeated, so a source's words meet its target.
+
+    A row with words gets floor((k + 1) p + u) - floor(k p + u) copies, where p is
+    target / words of its source, u a seeded start and k its rank in the source by
+    size class (a sixteenth of a doubling) and seeded order.  Neighbours in rank are
+    of like size, so a source's words differ from its target by about its longest
+    document at most, however many rows there are.  Rows without words get no copy.
+    The verdict stays on the row: doc_ids may be null or repeated.
+    """
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    words = F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]++")), F.lit(0)).cast("long")
+    salts = max(SALTS, -(-docs.count() // ROWS_PER_SALT))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.isNull().cast("int").alias("none"), F.coalesce(source, F.lit("")).alias("src"), words.alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("o"))
+    rows = rows.withColumn("class", F.floor(16 * F.log2(F.col("size") + 1))).withColumn("salt", F.pmod("o", F.lit(salts)))
+    cell = ["none", "src", "class", "salt"]
+    cells = materialise(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mixed-cells")
+    aims = materialise(targets(cells.groupBy("none", "src").agg(F.sum("words").alias("z")), share), "mixed-targets")
+    aims = aims.where("z > 0").select("none", "src", (F.col("target") / F.col("z")).alias("p"), (F.pmod(F.xxhash64(F.lit(seed), "none", "src"), F.lit(1 << 20)) / (1 << 20)).alias("u"))
+    before = Window.partitionBy("none", "src").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows", "words").join(aims, ["none", "src"])
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy(*cell).orderBy("o"))).join(cells, cell).withColumn("k", F.col("base") + F.col("at"))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("k") * F.col("p") + F.col("u")) - F.floor((F.col("k") - 1) * F.col("p") + F.col("u"))).otherwise(0)
+    return ranked.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy")).select("row.*")

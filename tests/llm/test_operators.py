@@ -76,6 +76,23 @@ def test_mixing(spark, fixture):
     assert mixing.mix(fixture.limit(0)).count() == 0
 
 
+def test_mixed_documents_meet_the_targets(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 50 == 0 else i, " ".join(f"w{i}" for _ in range(rng.randrange(400))), "en", (None, "a", "b", "ü", "b")[i % 5], 0, "k", i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    aims = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    out = [tuple(r) for r in mixing.mixed(docs).select(*docs.columns).collect()]
+    got, copies = defaultdict(int), defaultdict(int)
+    for r in out:
+        got[r[3]] += len(r[1].split())
+        copies[r[6]] += 1
+    assert all(abs(got[s] - aims[s]) <= 500 for s in aims) and set(out) <= set(rows)
+    assert max(copies.values()) == 2 and len(copies) < len(rows) and any(r[0] is None for r in out)
+    again = mixing.mixed(docs.repartition(7)).select(*docs.columns).collect()
+    assert sorted(r[6] for r in out) == sorted(r["h"] for r in again)
+    assert mixing.mixed(docs.where("text = ''")).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_apportionment_against_highest_quotients(spark):
     rng = random.Random(1)
     for seats in (1, 7, 100):
