@@ -14,6 +14,8 @@ STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|M
 WEIGHTS = {"house_number": 0.22, "road": 0.30, "city": 0.18, "region": 0.15, "postal_code": 0.15}
 VALID = 0.72
 PARTS = tuple(WEIGHTS)
+#: Tokens and components of more index rows than this are met as profiles.
+HOT = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,17 +84,34 @@ def standardize(text: Column) -> Column:
 def match_index(queries: DataFrame, index: DataFrame, limit: int = 5, least: float = 0.5) -> DataFrame:
     """(query_id, id, score, rank): 0.55 Jaccard of tokens and 0.45 share of equal components.
 
-    queries and index: id, text, parts.  Tokens are an equi-join; sides meet row by row only where they share one.
+    queries and index: id, text, parts.  Exact, without meeting every pair: rows that
+    share a token or component of at most HOT index rows meet; what others score
+    follows from their common features (profile) alone, so a profile of queries needs
+    only the first `limit` ids by that score.  A pair of both kinds scores more than its
+    profile says, so none of the best is lost.  Work grows with the pairs of profiles.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("qt"), F.col("parts").alias("qp"))
-    x = index.select("id", F.array_distinct(tokens(F.col("text"))).alias("xt"), F.col("parts").alias("xp"))
-    pairs = q.select("query_id", F.explode("qt").alias("t")).join(x.select("id", F.explode("xt").alias("t")), "t").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("common"))
-    both = pairs.join(q, "query_id").join(x, "id")
-    jaccard = F.col("common") / (F.size("qt") + F.size("xt") - F.col("common"))
-    asked = sum((F.col(f"qp.{k}").isNotNull().cast("int") for k in PARTS), F.lit(0))
-    equal = sum((F.coalesce((F.lower(f"qp.{k}") == F.lower(f"xp.{k}")).cast("int"), F.lit(0)) for k in PARTS), F.lit(0))
-    total = 0.55 * jaccard + 0.45 * F.when(asked > 0, equal / asked).otherwise(0.0)
-    best = both.withColumn("score", F.round(total, 6)).where(F.col("score") >= least)
+    part = lambda p: F.filter(F.array(*(F.concat(F.lit(f"{k} "), F.lower(F.col(f"{p}.{k}"))) for k in PARTS)), lambda x: x.isNotNull())
+    token = lambda t: F.transform(t, lambda x: F.concat(F.lit("t "), x))
+    q = queries.select(F.col("id").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("qt"), part("parts").alias("qp"))
+    x = index.select("id", F.array_distinct(tokens(F.col("text"))).alias("xt"), part("parts").alias("xp"))
+    score = lambda common, equal, nq, nx, asked: F.round(0.55 * (common / (nq + nx - common)) + 0.45 * F.when(asked > 0, equal / asked).otherwise(0.0), 6)
+    qf = q.select("query_id", F.explode(F.concat(token(F.col("qt")), "qp")).alias("f"))
+    xf = x.select("id", F.explode(F.concat(token(F.col("xt")), "xp")).alias("f"))
+    hot = xf.groupBy("f").count().where(F.col("count") > HOT).select("f")
+    near = qf.join(hot, "f", "left_anti").join(xf.join(hot, "f", "left_anti"), "f").select("query_id", "id").distinct()
+    held = lambda rows, by, to: rows.join(hot, "f", "left_semi").groupBy(by).agg(F.sort_array(F.collect_list("f")).alias(to))
+    qs = q.join(held(qf, "query_id", "qh"), "query_id").select("query_id", "qh", F.size("qt").alias("nq"), F.size("qp").alias("asked"))
+    xs = x.join(held(xf, "id", "xh"), "id").select("id", "xh", F.size("xt").alias("nx"))
+    first = xs.withColumn("n", F.row_number().over(Window.partitionBy("xh", "nx").orderBy("id"))).where(F.col("n") <= limit).drop("n")
+    words = lambda h: F.filter(h, lambda f: F.startswith(f, F.lit("t ")))
+    qk, xk = qs.select("qh", "nq", "asked").distinct(), first.select("xh", "nx").distinct()
+    met = qk.withColumn("f", F.explode(words(F.col("qh")))).join(xk.withColumn("f", F.explode(words(F.col("xh")))), "f").groupBy("qh", "nq", "asked", "xh", "nx").agg(F.count(F.lit(1)).alias("common"))
+    met = met.withColumn("s", score(F.col("common"), F.size(F.array_intersect("qh", "xh")) - F.col("common"), F.col("nq"), F.col("nx"), F.col("asked"))).where(F.col("s") >= least)
+    top = Window.partitionBy("qh", "nq", "asked").orderBy(F.col("s").desc(), "id")
+    heads = met.join(first, ["xh", "nx"]).withColumn("n", F.row_number().over(top)).where(F.col("n") <= limit).select("qh", "nq", "asked", "id")
+    both = near.union(qs.join(heads, ["qh", "nq", "asked"]).select("query_id", "id")).distinct().join(q, "query_id").join(x, "id")
+    common = F.size(F.array_intersect("qt", "xt"))
+    best = both.withColumn("score", score(common, F.size(F.array_intersect("qp", "xp")), F.size("qt"), F.size("xt"), F.size("qp"))).where((common > 0) & (F.col("score") >= least))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
 

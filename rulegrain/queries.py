@@ -544,7 +544,7 @@ def address_standardize(spark, d):
 def address_match(spark, d):
     text = F.concat(F.col("s_suppkey").cast("string"), F.lit(" Royal "), F.col("s_name"), F.lit(" Road Springfield IL 62701"))
     index = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")).withColumn("parts", address.components(F.col("text")))
-    return address.match_index(index.where("id <= 20"), index, 3)
+    return address.match_index(index, index, 3)
 
 
 def _records(spark, d) -> DataFrame:

@@ -186,3 +186,33 @@ def test_address_rule_functions(spark):
     rules = 'rule "A" no-loop { when b_addr_has_component(M.text, "road") && c_addr_confidence(M.text) > 0.9 then M.line = m_addr_standardize(M.text); M.code = m_addr_component(M.text, "postal_code"); }'
     got = evaluate(df, rules).select("M.line", "M.code").collect()
     assert [tuple(r) for r in got] == [("500 oak st austin tx 78701", "78701"), (None, None)]
+
+
+def test_match_index_against_all_pairs(spark, monkeypatch):
+    from rulegrain.functions import address
+
+    monkeypatch.setattr(address, "HOT", 6)
+    streets, towns = ["Royal", "Oak", "East Cola", "King"], ["Springfield IL 62701", "Austin TX 78701", "Austin TX", "Reno NV 89501"]
+    texts = [f"{1 + i % 11} {streets[i % 4]} {('Road', 'Street')[i % 2]} {towns[i * 7 // 5 % 4]}{' x' * (i % 3)}" for i in range(60)] + [f"{i} Royal S#{i:04} Road Springfield IL 62701" for i in range(30)] + ["unlike", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("parts", address.components(F.col("text"))).withColumn("t", F.array_distinct(address.tokens(F.col("text"))))
+    rows = [(r["id"], set(r["t"]), {k: v.lower() for k, v in r["parts"].asDict().items() if v is not None}) for r in rows.collect()]
+    want = []
+    for a, ta, pa in rows:
+        found = []
+        for b, tb, pb in rows:
+            if ta & tb and (s := round(0.55 * len(ta & tb) / len(ta | tb) + 0.45 * (sum(pb.get(k) == v for k, v in pa.items()) / len(pa) if pa else 0), 6)) >= 0.5:
+                found.append((-s, b))
+        want += [(a, b, -s, n + 1) for n, (s, b) in enumerate(sorted(found)[:3])]
+    index = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("parts", address.components(F.col("text")))
+    got = sorted(tuple(r) for r in address.match_index(index, index, 3).collect())
+    assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in sorted(want)]
+    assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, sorted(want), strict=True))
+
+
+def test_address_match_searches_every_supplier(spark, sf, tmp_path):
+    from rulegrain.queries import queries
+
+    base = spark.read.parquet(f"{sf}/supplier.parquet").limit(1)
+    base.drop("s_suppkey").crossJoin(spark.range(1, 91).select(F.col("id").alias("s_suppkey"))).withColumn("s_name", F.format_string("Supplier#%09d", "s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = queries()["address_match"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == set(range(1, 91)) and all(r["rank"] > 1 or r["query_id"] == r["id"] for r in got)
