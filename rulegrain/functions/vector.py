@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column
@@ -95,6 +96,25 @@ def percentile(raw: Column, reference: Column) -> Column:
     return 100.0 * (below + equal / 2) / F.size(reference)
 
 
+def percentile_among(raw: Column, scores: list[float]) -> Column:
+    """percentile() among ascending scores of any number, kept as distinct scores with the counts below them.
+
+    A score is looked up in its block alone: about two square roots of the distinct scores are compared.
+    """
+    points, below = np.unique(np.asarray(scores, dtype=np.float64), return_index=True)
+    size = max(1, math.isqrt(len(points)))
+    # One text literal, folded to an array once; repr gives back the same double.
+    array = lambda xs, kind: F.split(F.lit(",".join(repr(x) for x in xs)), ",").cast(f"array<{kind}>")
+    lasts = array(points[size - 1 :: size].tolist(), "double")
+    values, counts = array(points.tolist(), "double"), array([*below.tolist(), len(scores)], "bigint")
+    ahead = F.size(F.filter(lasts, lambda x: x < raw)) * size
+    block = F.slice(values, ahead + 1, size)
+    at = ahead + F.size(F.filter(block, lambda x: x < raw))
+    held = F.size(F.filter(block, lambda x: x == raw))
+    lower = F.element_at(counts, at + 1)
+    return 100.0 * (lower + (F.element_at(counts, at + 1 + held) - lower) / 2) / len(scores)
+
+
 def project(v: Column, direction: Column) -> Column:
     return dot(normalize(v), direction)
 
@@ -243,7 +263,7 @@ def register(registry) -> None:
     def calibrated(v, axis):
         if not axis.calibration:
             raise RuleError(f"axis {axis.name} has no calibration")
-        return percentile(project(v, literal(axis.direction)), literal(axis.calibration))
+        return percentile_among(project(v, literal(axis.direction)), axis.calibration)
 
     vectors("s_cosine", "s", 2, cosine)
     vectors("s_dot", "s", 2, dot)

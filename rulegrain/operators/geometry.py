@@ -1,7 +1,8 @@
 """Fitting of vector artifacts: axes, calibrations and regions.
 
 Means over any number of exemplars are Spark aggregates; only vectors of the
-model's dimension, or the covariance of a region, come to the driver.
+model's dimension, the covariance of a region and the scores of a calibration
+(a double for each reference text) come to the driver.
 """
 
 from __future__ import annotations
@@ -62,17 +63,13 @@ def fit_axis(name: str, positive: DataFrame, negative: DataFrame, model: str, co
     return Axis(name, unit(a - b).tolist(), model, len(a))
 
 
-def calibrate(axis: Axis, reference: DataFrame, column: str = "embedding", most: int = 10_000) -> Axis:
-    """Adds the ascending scores of the reference texts; beyond `most` of them, as many evenly spaced exact quantile ranks."""
+def calibrate(axis: Axis, reference: DataFrame, column: str = "embedding") -> Axis:
+    """Adds the ascending scores of all reference texts; the artifact holds each of them, so they come to the driver."""
     scores = reference.select(project(F.col(column), literal(axis.direction)).alias("s")).where("s is not null")
-    n = scores.count()
-    if n < 2:
+    points = np.sort(scores.toArrow().column("s").to_numpy())
+    if len(points) < 2:
         raise ValueError("a calibration needs two scores")
-    if n > most:
-        points = scores.agg(F.percentile("s", F.array(*(F.lit(i / (most - 1)) for i in range(most))))).first()[0]
-    else:
-        points = [r["s"] for r in scores.orderBy("s").collect()]
-    return Axis(axis.name, axis.direction, axis.model, axis.dim, [float(p) for p in points])
+    return Axis(axis.name, axis.direction, axis.model, axis.dim, points.tolist())
 
 
 def fit_region(name: str, cloud: DataFrame, rank: int, coverage: float, model: str, column: str = "embedding") -> Region:

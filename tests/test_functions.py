@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,15 @@ def test_address_match_searches_every_supplier(spark, sf, tmp_path):
     base.drop("s_suppkey").crossJoin(spark.range(1, 91).select(F.col("id").alias("s_suppkey"))).withColumn("s_name", F.format_string("Supplier#%09d", "s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     got = queries()["address_match"](spark, str(tmp_path)).collect()
     assert {r["query_id"] for r in got} == set(range(1, 91)) and all(r["rank"] > 1 or r["query_id"] == r["id"] for r in got)
+
+
+def test_percentile_is_exact_among_many_scores(spark):
+    angle = F.pmod(F.col("id") * 7919, F.lit(12000)) / 8000.0
+    df = spark.range(24001).select("id", F.array(F.cos(angle), F.sin(angle)).alias("embedding"))
+    axis = geometry.calibrate(geometry.Axis("a", [1.0, 0.0], "m", 2), df)
+    scores = np.array(axis.calibration)
+    assert len(scores) == 24001
+    raw = df.select(vector.project(F.col("embedding"), vector.literal(axis.direction)).alias("s")).limit(300).union(spark.createDataFrame([(-2.0,), (2.0,), (0.5,), (float(scores[-1]),)], "s double"))
+    for known in (scores, scores[:2], scores[:7], np.full(5, 0.5)):
+        got = raw.select("s", vector.percentile_among(F.col("s"), known.tolist()).alias("p")).collect()
+        assert all(abs(r["p"] - 100.0 * ((known < r["s"]).sum() + (known == r["s"]).sum() / 2) / len(known)) < 1e-9 for r in got)
