@@ -15,7 +15,8 @@ only thing that is broadcast, so its size is bounded whatever the benchmark's.
 
 Defined cases: null texts have no words; items without words are never found;
 rows that share a doc_id keep their own results; equal items are all reported;
-item_ids are compared as strings; other columns are left alone.
+item_ids are compared as strings, and an item without one counts for hits but
+is not named among the items found; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -137,11 +138,6 @@ def _blocks(items: DataFrame, block_words: int):
         raw, off = utf8(table.column("text"))
         hashes, first = words(raw, off, ALNUM)
         ids = table.column("item_id").to_pylist()
-        known = [i for i, x in enumerate(ids) if x is not None]
-        if len(known) < len(ids):
-            keep = np.concatenate([np.empty(0, np.int64), *(np.arange(first[i], first[i + 1]) for i in known)])
-            first = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in known])]).astype(np.int64)
-            hashes, ids = hashes[keep], [ids[i] for i in known]
         return Index(ids, hashes, first)
 
     return n, build
@@ -157,7 +153,7 @@ def _scan(shared):
                 found = index.matches(hashes, first)
                 part = batch.slice(lo, hi - lo)
                 spans = [[{"lo": a, "hi": b} for a, b in _merged(s)] for s, _ in found]
-                columns = [*(part.column(c) for c in part.schema.names if c != "text"), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted({index.ids[i] for i in t}) for _, t in found], pa.list_(pa.string()))]
+                columns = [*(part.column(c) for c in part.schema.names if c != "text"), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted({index.ids[i] for i in t} - {None}) for _, t in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(c for c in part.schema.names if c != "text"), "n_words", "spans", "items"])
 
     return run

@@ -130,6 +130,14 @@ def test_decontamination(spark, fixture):
     assert decontam.verdict(decontam.contamination(fixture, bench.limit(0))).where("n_hit > 0").isEmpty()
 
 
+def test_items_without_an_id_are_hit(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {passage} y", "en", "a", 0, "k", 1)], SCHEMA)
+    items = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    got = decontam.verdict(decontam.contamination(docs, items)).first()
+    assert (got["n_hit"], got["n_items"], got["contaminated"]) == (20, 0, True)
+
+
 def test_near_duplicates(spark, fixture):
     sets = {}
     for r in fixture.collect():
