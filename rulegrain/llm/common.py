@@ -7,21 +7,30 @@ Hashes here are position-keyed sums of mixed 64-bit words (a tabulation hash).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: A key is heavy if more than one in so many rows have it; there are fewer such keys than this.
+HEAVY = 1000
+
+_SCOPES: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temp folder only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; a temp folder where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rulegrain-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -31,7 +40,52 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/rulegrain/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Delete the scratch tables made inside, but for those that keep() was told of, when the block has ended."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            discard(spark, path)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Take a scratch table out of the innermost released() block; an outer one gets it."""
+    if _SCOPES and table.scratch_path in _SCOPES[-1]:
+        _SCOPES[-1].remove(table.scratch_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(table.scratch_path)
+    return table
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, a scratch table of one row a key that says in `count` how many rows have it.
+
+    Keys with more than 1 / HEAVY of the counted rows are fewer than HEAVY; they are joined by broadcast, so
+    no task is given all rows of a frequent key.  The columns but `count` are returned.
+    """
+    n = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if not n:
+        return rows.join(table.drop(count), keys, how)
+    heavy = F.broadcast(table.where(F.col(count) * HEAVY > n).drop(count))
+    light = table.where(F.col(count) * HEAVY <= n).drop(count)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys, how))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
