@@ -153,12 +153,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int = FIT_ROWS):
-    """(text, label) of at most rows labelled documents outside the held-out share, the same ones in every run."""
+def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int = FIT_ROWS, most_bytes: int | None = None):
+    """(doc_id, text, y) of at most rows labelled documents outside the held-out share, the same ones in every run.
+
+    With most_bytes, documents of more bytes aren't taken.  A label of a doc_id that
+    several rows of docs share counts for each of them; the limit holds for the result.
+    """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(key % held[0] != held[1]).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("doc_id", "text", "y")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if most_bytes is not None:
+        texts = texts.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
+    return texts.join(known, "doc_id").select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text"), "text").limit(rows)
 
 
 def held_out(held: tuple[int, int]):

@@ -2,14 +2,19 @@
 
 A text is read as overlapping windows of `SPAN` words.  A word's input joins a
 trained vector of its own (known words), the mean of trained vectors of its
-hashed character trigrams, and two fixed numbers: how strongly the word, and the
-most telling six bytes in it, went with the label among the training texts.  States of both directions are pooled by a
+hashed character trigrams, and three fixed numbers: how strongly the word, the
+most telling six bytes in it, and the most telling beginning of it went with the
+label among the training texts.  States of both directions are pooled by a
 softmax over a trained direction; a logistic unit gives the window's score.  A
 document scores the maximum of all its windows.
 
-The network is trained on the driver on at most `FIT_ROWS` labelled documents
-(those with the smallest hash of doc_id): of each, the window that holds the
-most telling word, and of negative ones one further window.
+The network is trained on the driver on at most `FIT_ROWS` labelled documents of
+at most `FIT_BYTES` bytes (those with the smallest hash of doc_id): of each, the
+window that holds the most telling word, and of negative ones one further window.
+The documents are dealt into `FOLDS` folds, evenly for either label; the fixed
+numbers of a fold's words come from the other folds alone, so no text's own label
+is in its inputs, neither in the steps nor in early stopping and calibration, which look
+at fold 0, left out of the steps.
 
 Defined cases: null, empty and wordless texts score the training rate; labels
 that are null, repeated or have no document as for the quality score; without
@@ -27,14 +32,18 @@ from rulegrain.llm.common import ALNUM, chunks, mix64, spelt, utf8
 from rulegrain.llm.quality import fitting_sample, held_out
 
 HELD, CUT = (5, 0), 0.5
-#: Labelled documents used for training at most.
-FIT_ROWS = 4_000
+#: Labelled documents used for training at most, and bytes of each at most.
+FIT_ROWS, FIT_BYTES = 4_000, 1 << 16
 SPAN, STEP = 48, 32
-HIDDEN, OWN, CHARS = 12, 8, 8
-BUCKETS, SIXES, KNOWN, LEAST_DOCS, LEAST_SHARE = 4096, 1 << 16, 8192, 3, 0.004
+HIDDEN, OWN, CHARS, FIXED = 12, 8, 8, 3
+BUCKETS, PIECES, KNOWN, LEAST_DOCS, LEAST_SHARE = 4096, 1 << 17, 8192, 3, 0.004
+#: Lengths in bytes of the beginnings of words that are looked at.
+BEGINS = (4, 7, 8, 9, 10)
 STEPS, BATCH, RATE, DECAY = 600, 128, 0.01, 1e-3
-#: One document in so many is left out of the steps; training ends when its log loss hasn't fallen for PATIENCE looks, LOOK steps apart.
-ASIDE, LOOK, PATIENCE = 5, 20, 7
+#: Vectors of words and letters learn at this part of the rate: with few positive texts they'd learn the texts by heart.
+SLOW = {"own": 0.02, "chars": 0.02}
+#: Training ends when the log loss of fold 0 hasn't fallen for PATIENCE looks, LOOK steps apart.
+FOLDS, LOOK, PATIENCE = 5, 20, 7
 
 
 def _sigmoid(x):
@@ -58,13 +67,25 @@ def sixes(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
     left = np.repeat(places[1:], np.diff(places)) - np.arange(len(letters))
     for j in range(6):
         code[: len(letters) - j] |= np.where(left[: len(letters) - j] > j, letters[j:], 0).astype(np.uint64) << np.uint64(8 * j)
-    return (mix64(code) % np.uint64(SIXES)).astype(np.int64)
+    return (mix64(code) % np.uint64(PIECES)).astype(np.int64)
+
+
+def begins(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Buckets of the beginnings of every word, one column for each of BEGINS; PIECES where the word is shorter."""
+    lengths = np.diff(places)
+    code, out = np.zeros(len(lengths), np.uint64), np.full((len(lengths), len(BEGINS)), PIECES)
+    for j in range(BEGINS[-1]):
+        on = np.flatnonzero(lengths > j)
+        code[on] = mix64(code[on] + letters[places[on] + j] + np.uint64(0x51ED + 256 * j))
+        if j + 1 in BEGINS:
+            out[on, BEGINS.index(j + 1)] = code[on] % np.uint64(PIECES)
+    return out
 
 
-def _telling(n1: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _telling(n1: np.ndarray, n: np.ndarray, positive: float, total: float) -> np.ndarray:
     """Standard scores of the labels of n documents with n1 positive ones, cut to 8 and scaled."""
-    share = n / len(y)
-    z = (n1 - share * y.sum()) / np.sqrt(np.maximum(share * (1 - share) * y.sum() * (1 - y.mean()), 1e-9) + 0.5)
+    share, rate = n / max(total, 1), positive / max(total, 1)
+    z = (n1 - share * positive) / np.sqrt(np.maximum(share * (1 - share) * positive * (1 - rate), 1e-9) + 0.5)
     return (np.clip(z, -8, 8) / 4).astype(np.float32)
 
 
@@ -84,9 +105,9 @@ class Network:
     def __init__(self, rate: float, known: np.ndarray, telling: np.ndarray, inner: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.rate, self.known, self.telling, self.inner, self.trained, self.scale = rate, known, telling.astype(np.float32), inner, False, (1.0, 0.0)
-        size = OWN + CHARS + 2
+        size = OWN + CHARS + FIXED
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"own": 0.1 * draw(len(known) + 1, OWN), "chars": draw(BUCKETS, CHARS) * 8, "wa": np.zeros(2 * HIDDEN, np.float32), "wo": draw(2 * HIDDEN, 1)[:, 0], "bo": np.full(1, np.log(rate / (1 - rate)), np.float32)}
+        self.p = {"own": 0.1 * draw(len(known) + 1, OWN), "chars": draw(BUCKETS, CHARS) * 2, "wa": np.zeros(2 * HIDDEN, np.float32), "wo": draw(2 * HIDDEN, 1)[:, 0], "bo": np.full(1, np.log(rate / (1 - rate)), np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": draw(size, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
 
@@ -97,15 +118,16 @@ class Network:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, at, len(self.known))
 
-    def strongest(self, six: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return np.maximum.reduceat(self.inner[six], places[:-1])
+    def fixed(self, ids: np.ndarray, six: np.ndarray, begin: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The fixed numbers of words: of the word, of its most telling six bytes, of its most telling beginning."""
+        return fixed_numbers(np.append(self.telling, np.float32(0)), self.inner, ids, six, begin, places)
 
-    def inputs(self, ids: np.ndarray, grams: np.ndarray, six: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def inputs(self, ids: np.ndarray, grams: np.ndarray, places: np.ndarray, fixed: np.ndarray) -> np.ndarray:
         own = self.p["own"][ids].copy()
         own[ids == len(self.known)] = 0
         lengths = np.diff(places).astype(np.float32)[:, None]
         chars = np.add.reduceat(self.p["chars"][grams], places[:-1], axis=0) / lengths
-        return np.concatenate([own, chars, np.append(self.telling, np.float32(0))[ids][:, None], self.strongest(six, places)[:, None]], axis=1)
+        return np.concatenate([own, chars, fixed], axis=1)
 
     def run(self, x: np.ndarray, at: np.ndarray, length: np.ndarray, keep: bool = False):
         """Logits of windows; x holds inputs of word types, at (windows, SPAN) their indices."""
@@ -132,9 +154,9 @@ class Network:
         logit = pooled @ self.p["wo"] + self.p["bo"][0]
         return (logit, (states, saved, alpha, pooled, live)) if keep else logit
 
-    def gradients(self, ids, grams, six, places, at, length, y):
+    def gradients(self, ids, grams, places, fixed, at, length, y):
         """Gradients of the mean log loss by backpropagation through time."""
-        x = self.inputs(ids, grams, six, places)
+        x = self.inputs(ids, grams, places, fixed)
         logit, (states, saved, alpha, pooled, live) = self.run(x, at, length, keep=True)
         out = {k: np.zeros_like(v) for k, v in self.p.items()}
         dl = ((_sigmoid(logit) - y) / len(y)).astype(np.float32)
@@ -180,7 +202,9 @@ class Network:
         lengths = np.diff(places)[sample]
         own_places = np.concatenate([[0], np.cumsum(lengths)])
         own_letters = letters[np.repeat(places[sample] - own_places[:-1], lengths) + np.arange(own_places[-1])]
-        x = self.inputs(self.word_ids(types), trigrams(own_letters, own_places), sixes(own_letters, own_places), own_places)
+        ids = self.word_ids(types)
+        fixed = self.fixed(ids, sixes(own_letters, own_places), begins(own_letters, own_places), own_places)
+        x = self.inputs(ids, trigrams(own_letters, own_places), own_places, fixed)
         row, start, length = windows(first)
         best = np.full(len(off) - 1, -np.inf)
         for lo in range(0, len(row), 4096):
@@ -192,6 +216,11 @@ class Network:
         return out
 
 
+def fixed_numbers(telling, inner, ids, six, begin, places) -> np.ndarray:
+    first = np.append(inner, np.float32(-2))[begin].max(axis=1)
+    return np.stack([telling[ids], np.maximum.reduceat(inner[six], places[:-1]), np.where(first > -2, first, np.float32(0))], axis=1)
+
+
 def _added(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by their target, of n targets."""
     out = np.zeros((n, rows.shape[1]), np.float32)
@@ -217,62 +246,93 @@ def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0.05 and np.isfinite(w).all() else (1.0, 0.0)
 
 
+def _dealt(y: np.ndarray, rng) -> np.ndarray:
+    """A fold for every document, evenly for either label."""
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        of = rng.permutation(np.flatnonzero(y == label))
+        fold[of] = np.arange(len(of)) % FOLDS
+    return fold
+
+
+def _counts(code: np.ndarray, fold: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """For positive and for all documents, and each fold: how many hold a code; code has (document, code) once each."""
+    doc = code // size
+    cell = fold[doc] * size + code % size
+    return np.stack([np.bincount(cell, w, FOLDS * size).reshape(FOLDS, size) for w in (y[doc], None)])
+
+
 def train(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
     rate = float((y.sum() + 1) / (len(y) + 2))
+    nothing = Network(rate, np.empty(0, np.uint64), np.empty(0), np.zeros(PIECES, np.float32))
     if len(set(y.tolist())) < 2:
-        return Network(rate, np.empty(0, np.uint64), np.empty(0), np.zeros(SIXES, np.float32))
+        return nothing
     raw, off = utf8(texts)
     hashes, first, letters, places = _pieces(raw, off)
+    if not len(hashes):
+        return nothing
+    rng = np.random.default_rng(seed)
+    fold = _dealt(y, rng)
     row = np.repeat(np.arange(len(y)), np.diff(first))
     types, sample, at = np.unique(hashes, return_index=True, return_inverse=True)
     lengths = np.diff(places)[sample]
     own = np.concatenate([[0], np.cumsum(lengths)])
     letters = letters[np.repeat(places[sample] - own[:-1], lengths) + np.arange(own[-1])]
-    grams, six = trigrams(letters, own), sixes(letters, own)
+    grams, six, begin = trigrams(letters, own), sixes(letters, own), begins(letters, own)
     pair = np.unique(row.astype(np.int64) * len(types) + at)
     prow, ptype = pair // len(types), pair % len(types)
     n = np.bincount(ptype, minlength=len(types))
-    z = _telling(np.bincount(ptype, y[prow], len(types)), n, y)
     common = np.flatnonzero(n >= max(LEAST_DOCS, LEAST_SHARE * len(y)))
     common = np.sort(common[np.argsort(-n[common], kind="stable")[:KNOWN]])
-    ones, all_ = np.zeros(SIXES), np.zeros(SIXES)
+    place = np.full(len(types), len(common))
+    place[common] = np.arange(len(common))
+    known = place[ptype] < len(common)
+    of_words = _counts(prow[known] * max(1, len(common)) + place[ptype[known]], fold, y, max(1, len(common)))[:, :, : len(common)]
+    of_pieces = np.zeros((2, FOLDS, PIECES))
     for docs in np.array_split(np.arange(len(y)), max(1, len(y) // 64)):
         part = slice(*np.searchsorted(prow, [docs[0], docs[-1] + 1]))
         of, to = _expand(ptype[part], own)
-        code = np.unique(prow[part][of] * SIXES + six[to])
-        all_ += np.bincount(code % SIXES, minlength=SIXES)
-        ones += np.bincount(code % SIXES, y[code // SIXES], SIXES)
-    net = Network(rate, types[common], z[common], _telling(ones, all_, y), seed)
-    del pair, prow, ptype
+        head = begin[ptype[part]].reshape(-1)
+        on = np.flatnonzero(head < PIECES)
+        code = np.concatenate([prow[part][of] * PIECES + six[to], prow[part][on // len(BEGINS)] * PIECES + head[on]])
+        of_pieces += _counts(np.unique(code), fold, y, PIECES)
+    del pair, prow, ptype, known
+
+    def told(counts: np.ndarray, without: int) -> np.ndarray:
+        """Scores from all folds but one (none: -1)."""
+        left, docs = np.arange(FOLDS) != without, fold != without
+        return _telling(counts[0, left].sum(axis=0), counts[1, left].sum(axis=0), float(y[docs].sum()), float(docs.sum()))
+
+    net = Network(rate, types[common], told(of_words, -1), told(of_pieces, -1), seed)
     net.trained = True
-
     ids = net.word_ids(types)
-    strength = np.maximum(np.append(net.telling, 0)[ids], net.strongest(six, own))[at]
+    # the fixed numbers of every word for each fold, from the other folds
+    apart = np.stack([fixed_numbers(np.append(told(of_words, k), np.float32(0)), told(of_pieces, k), ids, six, begin, own) for k in range(FOLDS)])
+    del of_words, of_pieces, six, begin
+    strength = apart.max(axis=2)[fold[row], at]
     wrow, start, length = windows(first)
     where = np.minimum(start[:, None] + np.arange(SPAN), len(at) - 1)
     live = np.arange(SPAN)[None] < length[:, None]
     top = np.where(live, strength[where], -np.inf).max(axis=1)
     order = np.lexsort((start, -top, wrow))
     chosen = order[np.unique(wrow[order], return_index=True)[1]]
-    rng = np.random.default_rng(seed)
     more = rng.permutation(len(wrow))
     more = more[np.unique(wrow[more], return_index=True)[1]]
-    chosen = np.concatenate([chosen, more[y[wrow[more]] == 0]])
-    aside = wrow[chosen] % ASIDE == 0
-    held, used = chosen[aside], chosen[~aside]
+    aside = fold[wrow[chosen]] == 0
+    held, used = chosen[aside], np.concatenate([chosen[~aside], more[(y[wrow[more]] == 0) & (fold[wrow[more]] > 0)]])
     if not len(used) or not len(held):
         held = used = chosen
-    held = held[np.unique(wrow[held], return_index=True)[1]]
 
     def batch(part):
-        part_types, idx = np.unique(at[where[part]].reshape(-1), return_inverse=True)
+        code, idx = np.unique(fold[wrow[part]][:, None] * len(types) + at[where[part]], return_inverse=True)
+        of_fold, part_types = code // len(types), code % len(types)
         of, to = _expand(part_types, own)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part_types)))])
-        return ids[part_types], grams[to], six[to], ends, idx.reshape(len(part), SPAN), length[part], y[wrow[part]].astype(np.float32)
+        ends = np.concatenate([[0], np.cumsum(lengths[part_types])])
+        return ids[part_types], grams[to], ends, apart[of_fold, part_types], idx.reshape(len(part), SPAN), length[part], y[wrow[part]].astype(np.float32)
 
     def logits(part) -> np.ndarray:
-        ids_of, g, x, ends, idx, size, _ = batch(part)
-        return net.run(net.inputs(ids_of, g, x, ends), idx, size)
+        *words_of, idx, size, _ = batch(part)
+        return net.run(net.inputs(*words_of), idx, size)
 
     def loss() -> float:
         p, truth = np.clip(_sigmoid(logits(held)), 1e-6, 1 - 1e-6), y[wrow[held]]
@@ -286,7 +346,7 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
             m, v = moment[k]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            net.p[k] = net.p[k] * (1 - RATE * DECAY) - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            net.p[k] = net.p[k] * (1 - RATE * DECAY) - RATE * SLOW.get(k, 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         if step % LOOK == 0:
             now = loss()
             if now < best[0]:
@@ -295,7 +355,7 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Network:
                 break
     net.p = best[1]
     # a maximum over many windows is higher than one window's logit: fit slope and offset on whole texts set aside
-    whole = np.flatnonzero(wrow % ASIDE == 0)
+    whole = np.flatnonzero(fold[wrow] == 0)
     out = np.full(len(y), -np.inf)
     for lo in range(0, len(whole), 2048):
         np.maximum.at(out, wrow[whole[lo : lo + 2048]], logits(whole[lo : lo + 2048]))
@@ -326,10 +386,10 @@ def _pieces(raw, off):
 
 
 def learn(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = HELD, rows: int = FIT_ROWS) -> Network:
-    table = fitting_sample(docs, labels, "toxic", held, rows).orderBy(F.xxhash64("doc_id"), "y", "text").toArrow()  # FIT_ROWS rows at most
+    table = fitting_sample(docs, labels, "toxic", held, rows, FIT_BYTES).toArrow()  # FIT_ROWS rows of FIT_BYTES bytes at most
     y = table.column("y").to_numpy().astype(np.float64)
     if not len(y):
-        return Network(0.5, np.empty(0, np.uint64), np.empty(0), np.zeros(SIXES, np.float32))
+        return Network(0.5, np.empty(0, np.uint64), np.empty(0), np.zeros(PIECES, np.float32))
     return train(table.column("text"), y)
 
 
