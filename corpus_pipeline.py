@@ -1,13 +1,14 @@
 """Corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each
-result as Parquet to the shared scratch folder and reads it as the next docs.
+result as Parquet to the shared scratch folder and reads it as the next docs;
+what a stage wrote on its way is deleted then, and so is its input.
 A stage works on all rows its predecessor kept, and all but the last return
 the columns of documents.
 
-Defined cases: rows without doc_id are judged by quality, and kept by
-near-duplicates and decontamination; rows that share a doc_id share the decisions
-on it there; further columns go through to the last stage.  The mix judges rows:
+Defined cases: rows without doc_id are judged by quality and by decontamination, and kept by
+near-duplicates, where rows that share a doc_id share the decision on it; an empty table gives an
+empty one; further columns, whatever their names, go through to the last stage.  The mix judges rows:
 it leaves out or repeats whole documents until a source's words meet its target,
 so a doc_id stands in the output 0, 1 or 2 times for each of its rows.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rulegrain.llm import decontam, minhash, mixing, quality, sharding
-from rulegrain.llm.common import materialise, read_table
+from rulegrain.llm.common import discard, keep, materialise, read_table, released
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with released(spark):
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if last:
+            discard(spark, last)
+        last = docs.scratch_path
     return STAGES[-1][1](spark, docs, sf_dir)
