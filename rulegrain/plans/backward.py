@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from rulegrain.plans.forward import Compiler, Context
 from rulegrain.plans.grammar import Assign, Both, Compare, Lit, Not, Path, Query, Rule, Test, parse_query, parse_rules
@@ -44,14 +45,17 @@ def prove(df: DataFrame, rules: str | list[Rule], query: str | Query, ctx: Conte
     def lookup(path: Path):
         if str(path) in flat:
             return F.col(f"`{path}`")
+        return F.lit(None) if isinstance(kind_of(path), NullType) else F.col(".".join(f"`{p}`" for p in path.parts))
+
+    def kind_of(path: Path):
         kind = df.schema
-        for p in path.parts:
+        for p in [str(path)] if str(path) in flat else path.parts:
             if not hasattr(kind, "fieldNames") or p not in kind.fieldNames():
-                return F.lit(None)
+                return NullType()
             kind = kind[p].dataType
-        return F.col(".".join(f"`{p}`" for p in path.parts))
+        return kind
 
-    compiler = Compiler(ctx, lookup)
+    compiler = Compiler(ctx, lookup, kind_of)
     concluding: dict[Path, list[tuple[Rule, object]]] = {}
     for rule in rules:
         for a in rule.then:

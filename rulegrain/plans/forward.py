@@ -1,10 +1,19 @@
 """Forward chaining as a Spark plan: a rule is a boolean column and its writes.
 
 A pass is a left fold over the rules by salience, then source order; later
-rules see earlier writes.  Passes are unrolled as far as the dependencies
-between rules need and never beyond the cycle limit; rules without no-loop fire
-again in every cycle up to the limit, which is counted, not planned.  Working
-memory is one flat column for each field, so plans stay linear in the rules.
+rules see earlier writes.  There are two plans, chosen by the dependencies
+between the rules alone:
+
+* Where no rule without no-loop reads what it or its followers write, the state comes to rest
+  after a known number of passes.  These are unrolled; rules without no-loop then fire again
+  in every cycle up to the limit, which is counted, not planned.  Working memory is one flat column
+  for each field, so plans stay linear in the rules.
+* Else (a rule that switches itself off, rules that toggle one another) the state is a struct that is folded over
+  the cycles by a higher-order function, in the JVM, until a cycle fires nothing.  Functions
+  of fields that no rule writes are made columns beforehand.
+
+Kinds: a text compared with a number is read as a number where it is one, and else compares false; a boolean equals
+booleans only.  A field that rules give values of two kinds is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +37,8 @@ class Context:
     embedder: object | None = None
     patterns: object | None = None
     missing_ne: bool = False
+    #: Columns with index matches, by the text that functions ask about (see functions.address.attach).
+    attached: dict = field(default_factory=dict)
 
 
 def lint(rules: list[Rule], registry: Registry) -> None:
@@ -48,8 +59,34 @@ def lint(rules: list[Rule], registry: Registry) -> None:
 class Compiler:
     """Trees to Columns over flat working-memory columns."""
 
-    def __init__(self, ctx: Context, lookup):
-        self.ctx, self.lookup = ctx, lookup
+    def __init__(self, ctx: Context, lookup, kind_of=lambda path: None):
+        self.ctx, self.lookup, self.kind_of = ctx, lookup, kind_of
+        self.made: dict[str, Column] = {}
+        self.items: list = []  # kinds of `it`, the innermost last
+
+    def kind(self, node):
+        """The Spark type of a value as far as it can be told, NullType where nothing is there."""
+        if isinstance(node, Lit):
+            return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), type(None): T.NullType()}.get(type(node.value))
+        if isinstance(node, Path):
+            if self.items and node.parts[0] == "it":
+                kind = self.items[-1]
+                for p in node.parts[1:]:
+                    kind = kind[p].dataType if isinstance(kind, T.StructType) and p in kind.fieldNames() else None
+                return kind
+            return self.kind_of(node)
+        if isinstance(node, Call):
+            spec = self.ctx.registry.functions.get(node.name)
+            return {"s": T.DoubleType(), "c": T.DoubleType(), "b": T.BooleanType(), "m": T.StringType()}.get(spec.kind) if spec else None
+        return T.DoubleType() if isinstance(node, (Arith, Accumulate)) else None
+
+    def _over(self, node):
+        """A list and whether there is one; its items are `it` until items.pop()."""
+        kind = self.kind(node)
+        if isinstance(node, Path) and not isinstance(kind, T.ArrayType):
+            return None
+        self.items.append(kind.elementType if isinstance(kind, T.ArrayType) else None)
+        return node
 
     def value(self, node, it: Column | None = None):
         if isinstance(node, Lit):
@@ -65,6 +102,8 @@ class Compiler:
             left, right = self.value(node.left, it), self.value(node.right, it)
             return {"+": left + right, "-": left - right, "*": left * right, "/": F.try_divide(left, right)}[node.op]
         if isinstance(node, Call):
+            if it is None and repr(node) in self.made:
+                return self.made[repr(node)]
             spec = self.ctx.registry.functions[node.name]
             return spec.build(self, list(node.args), it)
         if isinstance(node, Items):
@@ -74,6 +113,14 @@ class Compiler:
         raise RuleError(f"no value: {node}")
 
     def accumulate(self, node: Accumulate, it):
+        if self._over(node.over) is None:
+            return F.lit(None).cast("double")
+        try:
+            return self._accumulated(node, it)
+        finally:
+            self.items.pop()
+
+    def _accumulated(self, node: Accumulate, it):
         over = self.value(node.over, it)
         if node.cond is not None and node.fn != "count":
             raise RuleError("only count takes a condition; accumulate other functions over a list of numbers")
@@ -98,14 +145,26 @@ class Compiler:
         if isinstance(node, Test):
             return F.coalesce(self.value(node.call, it).cast("boolean"), F.lit(False))
         if isinstance(node, Quantified):
-            over = self.value(node.over, it)
-            test = (F.exists if node.kind == "exists" else F.forall)(over, lambda x: self.condition(node.cond, x))
+            if self._over(node.over) is None:
+                return F.lit(False)  # no such list
+            test = (F.exists if node.kind == "exists" else F.forall)(self.value(node.over, it), lambda x: self.condition(node.cond, x))
+            self.items.pop()
             return F.coalesce(test, F.lit(False))
         if isinstance(node, Compare):
             left, right = self.value(node.left, it), self.value(node.right, it)
+            kinds = [self.kind(node.left), self.kind(node.right)]
             if node.op in ("==", "!=") and Lit(None) in (node.left, node.right):
                 test = left.isNull() if node.right == Lit(None) else right.isNull()
                 return test if node.op == "==" else ~test
+            if node.op in _TEXTUAL:
+                if isinstance(kinds[0], T.ArrayType) and node.op == "contains":
+                    return F.coalesce(F.array_contains(left, right), F.lit(False))
+                left, right = (x if isinstance(k, T.StringType) else x.cast("string") for x, k in zip((left, right), kinds, strict=True))
+            elif {_class(k) for k in kinds} == {"number", "text"}:
+                left, right = (x.try_cast("double") if _class(k) == "text" else x for x, k in zip((left, right), kinds, strict=True))
+            elif "boolean" in (c := {_class(k) for k in kinds}) and c & {"number", "text"}:
+                known = left.isNotNull() & right.isNotNull()
+                return known if node.op == "!=" else F.lit(False)
             out = {
                 "==": lambda: left == right, "!=": lambda: left != right, ">": lambda: left > right, ">=": lambda: left >= right, "<": lambda: left < right, "<=": lambda: left <= right,
                 "contains": lambda: left.contains(right), "startsWith": lambda: left.startswith(right), "endsWith": lambda: left.endswith(right), "matches": lambda: F.regexp(left, right),
@@ -114,26 +173,66 @@ class Compiler:
         raise RuleError(f"no condition: {node}")
 
 
+_TEXTUAL = ("contains", "startsWith", "endsWith", "matches")
+
+
+def _class(kind) -> str | None:
+    """number, text, boolean, or None for what can't be told."""
+    if isinstance(kind, T.NumericType):
+        return "number"
+    return {T.StringType: "text", T.BooleanType: "boolean"}.get(type(kind))
+
+
 def _flat(path: Path) -> str:
     return "__".join(path.parts)
 
 
-def passes_needed(rules: list[Rule], cycles: int = CYCLES) -> int:
-    """How many passes until a chain of writes has reached every rule: one more for each step against the order."""
-    ordered = sorted(rules, key=lambda r: (-r.salience, r.order))
-    writes = [{a.target for a in r.then if isinstance(a, Assign)} for r in ordered]
-    reads = [paths_in(r.when).union(*(paths_in(a) for a in r.then)) for r in ordered]
-    touch = lambda a, b: any(p.parts[: len(q.parts)] == q.parts or q.parts[: len(p.parts)] == p.parts for p in writes[a] for q in reads[b])
-    level = [1] * len(ordered)
-    for _ in range(len(ordered) + 1):
-        new = [max([level[b], *(level[a] + (a >= b) for a in range(len(ordered)) if a != b and touch(a, b))]) for b in range(len(ordered))]
-        if new == level:
-            break
-        level = [min(x, len(ordered) + 1) for x in new]
-    for i, r in enumerate(ordered):
-        if not r.no_loop and any(isinstance(a, Assign) and a.target in paths_in(a) for a in r.then):
-            level[i] = cycles  # it changes its own input each time it fires
-    return max(1, min(cycles, max(level, default=1)))
+class Dependencies:
+    """Which rules, in firing order, read or rewrite what others write."""
+
+    def __init__(self, ordered: list[Rule], then: list[list[Assign]]):
+        self.ordered = ordered
+        self.writes = [{a.target for a in t} for t in then]
+        self.reads = [paths_in(r.when).union(*(paths_in(a.value) for a in t)) for r, t in zip(ordered, then, strict=True)]
+        n = range(len(ordered))
+        self.follow = [[b for b in n if any(_overlap(p, q) for p in self.writes[a] for q in self.reads[b])] for a in n]
+
+    def settles(self) -> bool:
+        """No rule without no-loop reads, itself or through others, what it writes."""
+        for a, rule in enumerate(self.ordered):
+            if not rule.no_loop:
+                seen, todo = set(), list(self.follow[a])
+                while todo:
+                    b = todo.pop()
+                    if b == a:
+                        return False
+                    if b not in seen:
+                        seen.add(b)
+                        todo += self.follow[b]
+        return True
+
+    def rewritten(self, a: int, b: int | None = None) -> bool:
+        """Rule a fires once, and a rule without no-loop writes the same field again (which rule b reads)."""
+        others = [p for c, r in enumerate(self.ordered) if c != a and not r.no_loop for p in self.writes[c]]
+        fields = [p for p in self.writes[a] if any(_overlap(p, q) for q in others)]
+        return self.ordered[a].no_loop and any(b is None or any(_overlap(p, q) for q in self.reads[b]) for p in fields)
+
+    def passes(self, cycles: int) -> int:
+        """Passes until a chain of writes has reached every rule: one more for each step against the order, and
+        for each write that lasts for one pass only."""
+        n = range(len(self.ordered))
+        level = [1] * len(self.ordered)
+        for _ in range(len(self.ordered) + 1):
+            new = [max([level[b], *(level[a] + (a >= b or self.rewritten(a, b)) for a in n if a != b and b in self.follow[a])]) for b in n]
+            if new == level:
+                break
+            level = [min(x, len(self.ordered) + 1) for x in new]
+        level += [level[a] + 1 for a in n if self.rewritten(a)]
+        return max(1, min(cycles, max(level, default=1)))
+
+
+def _overlap(p: Path, q: Path) -> bool:
+    return p.parts[: len(q.parts)] == q.parts or q.parts[: len(p.parts)] == p.parts
 
 
 def evaluate(df: DataFrame, rules: str | list[Rule], ctx: Context | None = None, cycles: int = CYCLES, types: dict[str, str] | None = None) -> DataFrame:
@@ -167,19 +266,44 @@ def evaluate(df: DataFrame, rules: str | list[Rule], ctx: Context | None = None,
         return F.lit(None)
 
     flat = {t: _flat(t) for t in targets}
+    kinds = {}
     out = df
     for t in targets:
         if existing(t) is not None:
+            kinds[t] = existing(t)
             out = out.withColumn(flat[t], F.col(".".join(f"`{p}`" for p in t.parts)))
-    compiler = Compiler(ctx, lookup)
-    kinds = dict(types or {})
+    compiler = Compiler(ctx, lookup, lambda path: kinds[path] if path in kinds else existing(path) or T.NullType())
     for t in targets:
         if existing(t) is None:
-            first = next(a.value for then in rules_then for a in then if a.target == t)
-            kind = kinds.get(str(t)) or _kind_of(first, compiler, out)
-            out = out.withColumn(flat[t], F.lit(None).cast(kind))
+            kinds[t] = T.DataType.fromDDL(types[str(t)]) if types and str(t) in types else _kind_of([a.value for then in rules_then for a in then if a.target == t], compiler, out, t)
+            out = out.withColumn(flat[t], F.lit(None).cast(kinds[t]))
+        for a in (a for then in rules_then for a in then if a.target == t):
+            given, wanted = _class(compiler.kind(a.value)), _class(kinds[t])
+            if given and wanted and given != wanted:
+                raise RuleError(f"{t} is {wanted}, but a rule gives it a {given}")
+    if not ordered:
+        return df.withColumns({"fired": F.array().cast("array<string>"), "trace": F.struct(F.lit(0).alias("cycles"), F.lit(0).alias("rules_evaluated"), F.lit(0).alias("rules_fired"))})
+
+    depend = Dependencies(ordered, rules_then)
+    if depend.settles():
+        out, extra = _unrolled(out, compiler, ordered, rules_then, flat, kinds, depend.passes(cycles), cycles)
+    else:
+        out, extra = _folded(out, compiler, ordered, rules_then, flat, kinds, cycles)
 
-    n = passes_needed(ordered, cycles)
+    for top in dict.fromkeys(t.parts[0] for t in targets):
+        mine = [t for t in targets if t.parts[0] == top]
+        if top in schema.fieldNames():
+            fact = F.col(f"`{top}`")
+            for t in mine:
+                fact = fact.withField(".".join(f"`{p}`" for p in t.parts[1:]), F.col(flat[t]))
+        else:
+            fact = _struct({t.parts[1:]: F.col(flat[t]) for t in mine})
+        out = out.withColumn(top, fact)
+    return out.drop(*flat.values(), *extra)
+
+
+def _unrolled(out: DataFrame, compiler: Compiler, ordered: list[Rule], rules_then, flat, kinds, n: int, cycles: int):
+    """n passes as columns; adds fired and trace.  Also the columns to drop."""
     flags: list[list[str]] = []
     done: dict[int, list[str]] = {}
     for p in range(n):
@@ -195,35 +319,81 @@ def evaluate(df: DataFrame, rules: str | list[Rule], ctx: Context | None = None,
             row.append(name)
             writes = {}
             for a in rules_then[k]:
-                new = compiler.value(a.value)
                 old = writes.get(flat[a.target], F.col(flat[a.target]))
-                writes[flat[a.target]] = F.when(F.col(name), new.cast(out.schema[flat[a.target]].dataType)).otherwise(old)
+                writes[flat[a.target]] = F.when(F.col(name), compiler.value(a.value).cast(kinds[a.target])).otherwise(old)
             if writes:
                 out = out.withColumns(writes)
         flags.append(row)
 
     names = lambda row: F.filter(F.array(*(F.when(F.col(f), F.lit(r.name)) for f, r in zip(row, ordered, strict=True))), lambda x: x.isNotNull())
-    if not ordered:
-        return out.withColumns({"fired": F.array().cast("array<string>"), "trace": F.struct(F.lit(0).alias("cycles"), F.lit(0).alias("rules_evaluated"), F.lit(0).alias("rules_fired"))})
     # The state rests after n passes; rules that may fire again do so in each further cycle.
     again = [f if not r.no_loop else None for f, r in zip(flags[-1], ordered, strict=True)]
     repeat = F.filter(F.array(*(F.when(F.col(f), F.lit(r.name)) if f else F.lit(None).cast("string") for f, r in zip(again, ordered, strict=True))), lambda x: x.isNotNull())
     fired = F.concat(*(names(row) for row in flags), F.flatten(F.array_repeat(repeat, cycles - n))) if cycles > n else F.concat(*(names(row) for row in flags))
-    live = [F.size(names(row)) > 0 for row in flags]
-    n_live = sum((x.cast("int") for x in live), F.lit(0))
+    n_live = sum(((F.size(names(row)) > 0).cast("int") for row in flags), F.lit(0))
     count = F.when(F.size(repeat) > 0, F.lit(cycles)).otherwise(F.least(n_live + 1, F.lit(cycles)))
-    out = out.withColumns({"fired": fired}).withColumn("trace", F.struct(count.alias("cycles"), (count * len(ordered)).alias("rules_evaluated"), F.size("fired").alias("rules_fired")))
+    return _traced(out.withColumn("fired", fired), count, len(ordered)), [f for row in flags for f in row]
 
-    for top in dict.fromkeys(t.parts[0] for t in targets):
-        mine = [t for t in targets if t.parts[0] == top]
-        if top in schema.fieldNames():
-            fact = F.col(f"`{top}`")
-            for t in mine:
-                fact = fact.withField(".".join(f"`{p}`" for p in t.parts[1:]), F.col(flat[t]))
-        else:
-            fact = _struct({t.parts[1:]: F.col(flat[t]) for t in mine})
-        out = out.withColumn(top, fact)
-    return out.drop(*flat.values(), *(f for row in flags for f in row))
+
+def _traced(out: DataFrame, count: Column, n_rules: int) -> DataFrame:
+    return out.withColumn("trace", F.struct(count.alias("cycles"), (count * n_rules).alias("rules_evaluated"), F.size("fired").alias("rules_fired")))
+
+
+def _with(state: Column, make) -> Column:
+    """make(state), with state worked out once."""
+    return F.transform(F.array(state), make)[0]
+
+
+def _folded(out: DataFrame, compiler: Compiler, ordered: list[Rule], rules_then, flat, kinds, cycles: int):
+    """Cycles as a fold over a struct: the written fields, `done` of every rule, `names` fired, `n` cycles, `any` fired in this one, `rest`."""
+    written = set(flat)
+    for node in (x for r, then in zip(ordered, rules_then, strict=True) for x in (r.when, *(a.value for a in then))):
+        for call in calls_in(node):
+            if repr(call) not in compiler.made and not any(_overlap(p, t) or p.parts[0] == "it" for p in paths_in(call) for t in written):
+                name = f"__made_{len(compiler.made)}"
+                out = out.withColumn(name, compiler.value(call))
+                compiler.made[repr(call)] = F.col(name)
+    made = [f"__made_{i}" for i in range(len(compiler.made))]
+    plain = compiler.lookup
+    fields = list(flat.values())
+
+    def packed(values: dict[str, Column]) -> Column:
+        return F.struct(*(values[f].alias(f) for f in (*fields, "done", "names", "n", "any", "rest")))
+
+    def fire(k: int, rule: Rule):
+        def step(state: Column) -> Column:
+            compiler.lookup = lambda path: state[flat[path]] if path in flat else plain(path)
+            test = compiler.condition(rule.when)
+            if rule.no_loop:
+                test = test & ~state["done"][k]
+
+            def after(on: Column) -> Column:
+                values = {f: state[f] for f in (*fields, "done", "names", "n", "any", "rest")}
+                new = {}
+                for a in rules_then[k]:
+                    new[flat[a.target]] = F.when(on, compiler.value(a.value).cast(kinds[a.target])).otherwise(new.get(flat[a.target], state[flat[a.target]]))
+                values |= new
+                values["done"] = F.transform(state["done"], lambda d, i: d | (on & (i == k)))
+                values["names"] = F.when(on, F.array_append(state["names"], F.lit(rule.name))).otherwise(state["names"])
+                values["any"] = state["any"] | on
+                return packed(values)
+
+            return _with(test, after)
+
+        return step
+
+    def cycle(state: Column, _: Column) -> Column:
+        now = packed({**{f: state[f] for f in (*fields, "done", "names", "rest")}, "n": state["n"] + 1, "any": F.lit(False)})
+        for k, rule in enumerate(ordered):
+            now = _with(now, fire(k, rule))
+        ended = _with(now, lambda s: packed({**{f: s[f] for f in (*fields, "done", "names", "n", "any")}, "rest": ~s["any"]}))
+        return F.when(state["rest"], state).otherwise(ended)
+
+    start = packed({**{f: F.col(f) for f in fields}, "done": F.array(*(F.lit(False) for _ in ordered)), "names": F.array().cast("array<string>"), "n": F.lit(0), "any": F.lit(False), "rest": F.lit(False)})
+    out = out.withColumn("__end", F.aggregate(F.sequence(F.lit(1), F.lit(cycles)), start, cycle))
+    compiler.lookup = plain
+    out = out.withColumns({**{f: F.col("__end")[f] for f in fields}, "fired": F.col("__end")["names"]})
+    return _traced(out, F.col("__end")["n"], len(ordered)), ["__end", *made]
 
 
 def _struct(fields: dict[tuple[str, ...], Column]) -> Column:
@@ -231,8 +401,15 @@ def _struct(fields: dict[tuple[str, ...], Column]) -> Column:
     return F.struct(*((_struct({p[1:]: c for p, c in fields.items() if p[0] == h and len(p) > 1}) if (h,) not in fields else fields[(h,)]).alias(h) for h in heads))
 
 
-def _kind_of(value, compiler: Compiler, df: DataFrame):
-    if isinstance(value, Lit):
-        return {bool: "boolean", int: "bigint", float: "double", str: "string"}.get(type(value.value), "string")
-    kind = df.select(compiler.value(value).alias("x")).schema["x"].dataType
-    return "string" if isinstance(kind, T.NullType) else kind
+def _kind_of(values: list, compiler: Compiler, df: DataFrame, target: Path):
+    """The type of a field from the values that rules give it: the widest of numbers."""
+    kinds = []
+    for value in values:
+        kind = compiler.kind(value) if isinstance(value, Lit) else df.select(compiler.value(value).alias("x")).schema["x"].dataType
+        if kind is not None and not isinstance(kind, T.NullType):
+            kinds.append(kind)
+    if len({_class(k) or str(k) for k in kinds}) > 1:
+        raise RuleError(f"rules give {target} values of several kinds: {', '.join(sorted({k.simpleString() for k in kinds}))}")
+    if kinds and _class(kinds[0]) == "number":
+        return kinds[0] if len(set(kinds)) == 1 else T.DoubleType()
+    return kinds[0] if kinds else T.StringType()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from rulegrain.functions import vector
 from rulegrain.operators.geometry import Artifacts, Axis
 from rulegrain.operators.governance import can_promote, compare
 from rulegrain.plans.backward import prove
-from rulegrain.plans.forward import Context, evaluate
+from rulegrain.plans.forward import Context, Dependencies, evaluate
 from rulegrain.plans.grammar import Lit, RuleError, parse_query, parse_rules, validate
 
 
@@ -38,6 +40,64 @@ def test_rule_that_counts_stops_at_the_cycle_limit(facts):
     assert {r[0] for r in out.select("N.v").collect()} == {3}
 
 
+def test_a_rule_that_switches_itself_off_fires_once(facts):
+    out = evaluate(facts, 'rule "Down" { when Request.len > 100 then Request.len = 50; }')
+    got = {r["id"]: (r["fired"], r["trace"]["cycles"], r["Request"] and r["Request"]["len"]) for r in out.collect()}
+    assert got[1] == (["Down"], 2, 50) and got[2] == ([], 1, 5)
+    pair = 'rule "A" salience 2 { when X.a == 1 then X.a = 2; } rule "I" no-loop { when Request.len > 100 then X.a = 1; }'
+    assert rows(evaluate(facts, pair), "fired")[1] == ["I", "A"]
+
+
+def _interpreted(pack, state, cycles):
+    """Rules (name, salience, no_loop, field, value, target, add, constant) run one by one."""
+    state, done, fired = dict(state), set(), []
+    ordered = sorted(enumerate(pack), key=lambda r: (-r[1][1], r[0]))
+    for n in range(1, cycles + 1):
+        some = False
+        for k, (name, _, once, seen, value, target, add, constant) in ordered:
+            if state.get(seen) == value and not (once and k in done):
+                done.add(k)
+                fired.append(name)
+                some = True
+                state[target] = constant if add is None else None if state.get(add) is None else state[add] + constant
+        if not some:
+            break
+    return fired, state, n
+
+
+def test_random_packs_against_an_interpreter(spark):
+    rng = random.Random(12)
+    packs = []
+    for _ in range(45):
+        packs.append([(f"r{i}", rng.randrange(3), rng.random() < 0.6, rng.choice("abc"), rng.randrange(3), rng.choice("abc"), rng.choice([None, None, None, "a", "b"]), rng.randrange(3)) for i in range(rng.randrange(1, 5))])
+    starts = [(i, (rng.choice([None, 0, 1, 2]), rng.choice([0, 1, 2]), 0)) for i in range(6)]
+    df = spark.createDataFrame(starts, "id int, X struct<a:long,b:long,c:long>")
+    plans = set()
+    for pack in packs:
+        text = " ".join(f'rule "{n}" salience {s} {"no-loop" if once else ""} {{ when X.{seen} == {v} then X.{t} = {f"X.{add} + {c}" if add else c}; }}' for n, s, once, seen, v, t, add, c in pack)
+        rules = parse_rules(text)
+        ordered = sorted(rules, key=lambda r: (-r.salience, r.order))
+        plans.add(Dependencies(ordered, [list(r.then) for r in ordered]).settles())
+        for r in evaluate(df, text, cycles=9).collect():
+            fired, state, n = _interpreted(pack, dict(zip("abc", dict(starts)[r["id"]], strict=True)), 9)
+            assert (r["fired"], r["X"].asDict(), r["trace"]["cycles"]) == (fired, state, n), text
+    assert plans == {True, False}
+
+
+def test_lists_and_kinds(facts, spark):
+    pack = 'rule "S" no-loop { when exists(Absent.lines, it.q > 1) || forall(Request.nothing, it > 1) then D.a = true; } rule "N" no-loop { when accumulate(sum, Absent.q) > 1 then D.b = true; } rule "Kind" no-loop { when exists(Request.tier, it > 1) then D.c = true; }'
+    assert rows(evaluate(facts, pack), "fired") == {1: [], 2: [], 3: []}
+    odd = spark.createDataFrame([(1, ("12", True, ["a", "b"])), (2, ("x", False, [])), (3, (None, None, None))], "id int, R struct<t:string,b:boolean,l:array<string>>")
+    fired = lambda test: [i for i, f in sorted(rows(evaluate(odd, f'rule "T" no-loop {{ when {test} then D.a = 1; }}'), "fired").items()) if f]
+    assert fired("R.t > 5") == [1] and fired("R.t == 12") == [1] and fired("R.t != 12") == []
+    assert fired('R.b == "true"') == [] and fired("R.b == true") == [1] and fired('R.l contains "b"') == [1]
+    assert fired("len(R.l) == 2") == [1] and fired("len(R.t) == 1") == [2]
+    with pytest.raises(RuleError, match="several kinds"):
+        evaluate(odd, 'rule "A" { when R.b == true then O.x = true; } rule "B" { when R.b == false then O.x = "yes"; }')
+    with pytest.raises(RuleError, match="gives it a text"):
+        evaluate(odd, 'rule "B" { when R.b == false then R.b = "yes"; }')
+
+
 def test_missing_facts_compare_false(facts):
     out = evaluate(facts, 'rule "Ne" no-loop { when Absent.x != 1 then D.a = true; } rule "Not" no-loop { when !(Absent.x == 1) then D.b = true; }')
     assert rows(out, "fired") == {i: ["Not"] for i in (1, 2, 3)}
@@ -55,7 +115,7 @@ def test_lint_kinds_and_registration(facts):
 
 
 def test_artifacts_of_another_model_are_refused(facts):
-    ctx = Context(artifacts=Artifacts(a=Axis("a", [1.0] * 4, "other", 4, [0.0, 1.0])), embedder=vector.KeywordEmbedder([["x"], ["y"]]))
+    ctx = Context(artifacts=Artifacts(a=Axis("a", [1.0] * 4, "other", 4, [0.0, 1.0])), embedder=vector.HashingEmbedder(4))
     with pytest.raises(RuleError, match="fitted with"):
         evaluate(facts, 'rule "R" { when c_project(Request.tier, "a") > 5 then D.a = 1; }', ctx)
 
