@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegrain.functions.canon import SPACE, fnv1a_hex
+from rulegrain.operators.scratch import materialise
 
 # fixed values: token forms, and the weights of the validity score
 FORMS = {"street": "st", "avenue": "ave", "road": "rd", "lane": "ln", "drive": "dr", "boulevard": "blvd", "usa": "us"}
-SUFFIXES = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|way|court|ct|place|pl"
+SUFFIXES = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|way"
+STOP_WORDS = "is|to|for|the|a|an|requested|bill-to|ship-to"
 STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC"
 WEIGHTS = {"house_number": 0.22, "road": 0.30, "city": 0.18, "region": 0.15, "postal_code": 0.15}
 VALID = 0.72
@@ -31,24 +35,100 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(forms, w), w))
 
 
+def _bound(x: Column, make) -> Column:
+    """make(x), with x worked out once."""
+    return F.transform(F.array(x), make)[0]
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE), lambda w: F.length(w) > 0)
+
+
+def _zip(w: Column) -> Column:
+    return bare(w).rlike(r"^[0-9]{5}\z")
+
+
+def _state(w: Column) -> Column:
+    return F.translate(bare(w), LOWER, UPPER).isin(*STATES.split("|"))
+
+
+def _suffix(w: Column) -> Column:
+    return F.translate(bare(w), UPPER, LOWER).isin(*SUFFIXES.split("|"))
+
+
+def _number(w: Column) -> Column:
+    return w.rlike("[0-9]") & ~_zip(w)
+
+
+def _places(words: Column, test) -> Column:
+    """Indexes, from 0, of the words that test holds for; null elsewhere."""
+    return F.transform(words, lambda w, i: F.when(test(w), i))
+
+
+def title(text: Column) -> Column:
+    """Words without punctuation at their ends, with a capital first letter."""
+    cased = lambda w: F.concat(F.translate(F.substring(w, 1, 1), LOWER, UPPER), F.translate(F.substring(w, 2, 1 << 30), UPPER, LOWER))
+    return F.array_join(F.transform(_words(text), lambda w: cased(bare(w))), " ")
+
+
 def span(text: Column) -> Column:
-    """The part of a text that is an address: from a number, or a capitalised road, to a state or postal code."""
-    road = rf"(?:[A-Z][\w.']*\s+){{1,4}}(?i:{SUFFIXES})\b\.?"
-    tail = rf"(?:,?\s+[A-Z][\w.']*){{0,3}},?\s+(?:(?:{STATES})\b(?:\s+\d{{5}}(?:-\d{{4}})?)?|\d{{5}}(?:-\d{{4}})?)"
-    found = F.regexp_extract(text, rf"((?:\b\d+[A-Za-z]?\s+{road}|{road}){tail})", 1)
-    return F.nullif(found, F.lit(""))
+    """The words of a text that are an address, or null.
+
+    It begins at the first word with a digit that isn't a postal code, or else at the capitalised words
+    before the first street suffix (back to a stop word); it ends after a state and a postal code next to it, after a
+    postal code, or with the text.
+    """
+
+    def begin(words: Column) -> Column:
+        suffix = F.array_min(_places(words, _suffix))
+        breaks = lambda w: (F.length(bare(w)) == 0) | F.translate(bare(w), UPPER, LOWER).isin(*STOP_WORDS.split("|")) | ~bare(w).rlike(r"^\p{Lu}")
+        back = lambda s: F.coalesce(F.array_max(F.filter(_places(words, breaks), lambda i: i < s)) + 1, F.lit(0))
+        walked = _bound(suffix, lambda s: _bound(back(s), lambda at: F.when(at < s, at)))
+        return F.coalesce(F.array_min(_places(words, _number)), walked)
+
+    def cut(words: Column) -> Column:
+        def until(at: Column) -> Column:
+            state, code = (F.array_min(F.filter(_places(words, test), lambda i: i > at)) for test in (_state, _zip))
+            by_state = F.when(_zip(F.get(words, state + 1)), state + 2).otherwise(state + 1)
+            end = F.when(state < F.coalesce(code, F.lit(1 << 30)), by_state).otherwise(F.coalesce(code + 1, F.size(words)))
+            return F.when(at.isNotNull(), F.array_join(F.slice(words, at + 1, F.greatest(end - at, F.lit(0))), " "))
+
+        return _bound(begin(words), until)
+
+    return _bound(_words(text), cut)
 
 
 def components(text: Column) -> Column:
-    """struct of house_number, road, city, region and postal_code found in an address."""
-    part = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return F.struct(
-        part(r"^\s*(\d+[A-Za-z]?)\b").alias("house_number"),
-        part(rf"^\s*(?:\d+[A-Za-z]?\s+)?((?:[\w.']+\s+){{1,4}}?(?i:{SUFFIXES})\b)").alias("road"),
-        part(rf"((?:[A-Z][\w.']*\s?)+?),?\s+(?:{STATES})\b(?=\s*\d|\s*$)(?<!^)").alias("city_raw"),
-        part(rf"\b({STATES})\b(?=\s*\d{{5}}|\s*$)").alias("region"),
-        part(r"\b(\d{5}(?:-\d{4})?)\s*$").alias("postal_code"),
-    ).dropFields("city_raw").withField("city", part(rf"([A-Za-z.']+),?\s+(?:{STATES})\b(?=\s*\d{{5}}|\s*$)"))
+    """struct of house_number, road, city, region and postal_code found in an address.
+
+    The road goes to the first street suffix, or over four words; the city is the word before the last state.
+    """
+
+    def found(words: Column) -> Column:
+        first = F.get(words, F.lit(0))
+        house = F.when(first.rlike("[0-9]") & ~_zip(first), bare(first))
+        state = F.array_max(_places(words, _state))
+        end = F.coalesce(F.array_min(_places(words, _suffix)) + 1, F.least(F.size(words), F.lit(4)))
+        begin = F.when(house.isNotNull(), 1).otherwise(0)
+        road = F.when(end > begin, title(F.array_join(F.slice(words, begin + 1, F.greatest(end - begin, F.lit(0))), " ")))
+        code = F.get(words, F.array_max(_places(words, _zip)))
+        region = F.translate(bare(F.get(words, state)), LOWER, UPPER)
+        city = F.when(state > 0, title(F.get(words, F.greatest(state - 1, F.lit(0)))))
+        return F.struct(house.alias("house_number"), road.alias("road"), city.alias("city"), region.alias("region"), bare(code).alias("postal_code"))
+
+    return _bound(_words(text), found)
+
+
+def normal(text: Column) -> Column:
+    """Words in lower case and short forms, without punctuation at their ends."""
+    forms = F.create_map(*(F.lit(x) for kv in FORMS.items() for x in kv))
+    words = F.transform(_words(text), lambda w: F.translate(bare(w), UPPER, LOWER))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
+
+
+def line_tokens(canonical: Column) -> Column:
+    """Distinct tokens of a canonical line."""
+    return F.array_distinct(_words(canonical))
 
 
 def score(parts: Column) -> Column:
@@ -69,49 +149,57 @@ def display(parts: Column, country: Column | None = None) -> Column:
 
 def canonical(parts: Column, country: Column | None = None) -> Column:
     """The displayed line's words in lower case and short forms, without punctuation at their ends."""
-    forms = F.create_map(*(F.lit(x) for kv in FORMS.items() for x in kv))
-    words = F.transform(F.filter(F.split(display(parts, country), SPACE), lambda w: F.length(w) > 0), lambda w: F.translate(bare(w), UPPER, LOWER))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
+    return normal(display(parts, country))
 
 
 def standardize(text: Column) -> Column:
     """struct<address, parts, display, canonical, key, score, valid> of a text."""
-    address = F.coalesce(span(text), text)
-    parts = components(address)
-    return F.struct(address.alias("address"), parts.alias("parts"), display(parts).alias("display"), canonical(parts).alias("canonical"), fnv1a_hex(canonical(parts)).alias("key"), score(parts).alias("score"), (score(parts) >= VALID).alias("valid"))
+    def told(address: Column) -> Column:
+        return _bound(components(address), lambda parts: _bound(canonical(parts), lambda line: F.struct(address.alias("address"), parts.alias("parts"), display(parts).alias("display"), line.alias("canonical"), fnv1a_hex(line).alias("key"), score(parts).alias("score"), (score(parts) >= VALID).alias("valid"))))
+
+    return _bound(F.coalesce(span(text), F.btrim(text)), told)
 
 
 def match_index(queries: DataFrame, index: DataFrame, limit: int = 5, least: float = 0.5) -> DataFrame:
-    """(query_id, id, score, rank): 0.55 Jaccard of tokens and 0.45 share of equal components.
+    """(query_id, id, score, rank): 0.55 Jaccard of tokens and 0.45 the share of equal components among those either side has.
 
-    queries and index: id, text, parts.  Exact, without meeting every pair: rows that
+    queries and index: id, canonical, parts.  Exact, without meeting every pair: rows that
     share a token or component of at most HOT index rows meet; what others score
-    follows from their common features (profile) alone, so a profile of queries needs
-    only the first `limit` ids by that score.  A pair of both kinds scores more than its
+    follows from their common features (profile), their number of tokens and which components they have, so a
+    profile of queries needs only the first `limit` ids by that score.  A pair of both kinds scores more than its
     profile says, so none of the best is lost.  Work grows with the pairs of profiles.
     """
-    part = lambda p: F.filter(F.array(*(F.concat(F.lit(f"{k} "), F.lower(F.col(f"{p}.{k}"))) for k in PARTS)), lambda x: x.isNotNull())
+    def part(rows: DataFrame) -> tuple[Column, Column]:
+        """Components as texts, and as bits which there are."""
+        names = [k for k in (*PARTS, "country") if k in rows.schema["parts"].dataType.fieldNames()]
+        held = F.filter(F.array(*(F.concat(F.lit(f"{k} "), normal(F.col(f"parts.{k}"))) for k in names)), lambda x: x.isNotNull())
+        return held, sum((F.when(F.col(f"parts.{k}").isNotNull(), 1 << i).otherwise(0) for i, k in enumerate((*PARTS, "country")) if k in names), F.lit(0))
+
     token = lambda t: F.transform(t, lambda x: F.concat(F.lit("t "), x))
-    q = queries.select(F.col("id").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("qt"), part("parts").alias("qp"))
-    x = index.select("id", F.array_distinct(tokens(F.col("text"))).alias("xt"), part("parts").alias("xp"))
-    score = lambda common, equal, nq, nx, asked: F.round(0.55 * (common / (nq + nx - common)) + 0.45 * F.when(asked > 0, equal / asked).otherwise(0.0), 6)
+    (q_parts, q_bits), (x_parts, x_bits) = part(queries), part(index)
+    q = materialise(queries.select(F.col("id").alias("query_id"), line_tokens(F.col("canonical")).alias("qt"), q_parts.alias("qp"), q_bits.alias("qb")), "match-queries")
+    x = materialise(index.select("id", line_tokens(F.col("canonical")).alias("xt"), x_parts.alias("xp"), x_bits.alias("xb")), "match-index")
+
+    def score(common, equal, nq, nx, bits) -> Column:
+        return F.round(0.55 * (common / (nq + nx - common)) + 0.45 * F.when(bits > 0, equal / F.bit_count(bits)).otherwise(0.0), 6)
+
     qf = q.select("query_id", F.explode(F.concat(token(F.col("qt")), "qp")).alias("f"))
     xf = x.select("id", F.explode(F.concat(token(F.col("xt")), "xp")).alias("f"))
     hot = xf.groupBy("f").count().where(F.col("count") > HOT).select("f")
     near = qf.join(hot, "f", "left_anti").join(xf.join(hot, "f", "left_anti"), "f").select("query_id", "id").distinct()
     held = lambda rows, by, to: rows.join(hot, "f", "left_semi").groupBy(by).agg(F.sort_array(F.collect_list("f")).alias(to))
-    qs = q.join(held(qf, "query_id", "qh"), "query_id").select("query_id", "qh", F.size("qt").alias("nq"), F.size("qp").alias("asked"))
-    xs = x.join(held(xf, "id", "xh"), "id").select("id", "xh", F.size("xt").alias("nx"))
-    first = xs.withColumn("n", F.row_number().over(Window.partitionBy("xh", "nx").orderBy("id"))).where(F.col("n") <= limit).drop("n")
+    qs = q.join(held(qf, "query_id", "qh"), "query_id").select("query_id", "qh", F.size("qt").alias("nq"), "qb")
+    xs = x.join(held(xf, "id", "xh"), "id").select("id", "xh", F.size("xt").alias("nx"), "xb")
+    first = xs.withColumn("n", F.row_number().over(Window.partitionBy("xh", "nx", "xb").orderBy("id"))).where(F.col("n") <= limit).drop("n")
     words = lambda h: F.filter(h, lambda f: F.startswith(f, F.lit("t ")))
-    qk, xk = qs.select("qh", "nq", "asked").distinct(), first.select("xh", "nx").distinct()
-    met = qk.withColumn("f", F.explode(words(F.col("qh")))).join(xk.withColumn("f", F.explode(words(F.col("xh")))), "f").groupBy("qh", "nq", "asked", "xh", "nx").agg(F.count(F.lit(1)).alias("common"))
-    met = met.withColumn("s", score(F.col("common"), F.size(F.array_intersect("qh", "xh")) - F.col("common"), F.col("nq"), F.col("nx"), F.col("asked"))).where(F.col("s") >= least)
-    top = Window.partitionBy("qh", "nq", "asked").orderBy(F.col("s").desc(), "id")
-    heads = met.join(first, ["xh", "nx"]).withColumn("n", F.row_number().over(top)).where(F.col("n") <= limit).select("qh", "nq", "asked", "id")
-    both = near.union(qs.join(heads, ["qh", "nq", "asked"]).select("query_id", "id")).distinct().join(q, "query_id").join(x, "id")
+    qk, xk = qs.select("qh", "nq", "qb").distinct(), first.select("xh", "nx", "xb").distinct()
+    met = qk.withColumn("f", F.explode(words(F.col("qh")))).join(xk.withColumn("f", F.explode(words(F.col("xh")))), "f").groupBy("qh", "nq", "qb", "xh", "nx", "xb").agg(F.count(F.lit(1)).alias("common"))
+    met = met.withColumn("s", score(F.col("common"), F.size(F.array_intersect("qh", "xh")) - F.col("common"), F.col("nq"), F.col("nx"), F.col("qb").bitwiseOR(F.col("xb")))).where(F.col("s") >= least)
+    top = Window.partitionBy("qh", "nq", "qb").orderBy(F.col("s").desc(), "id")
+    heads = met.join(first, ["xh", "nx", "xb"]).withColumn("n", F.row_number().over(top)).where(F.col("n") <= limit).select("qh", "nq", "qb", "id")
+    both = near.union(qs.join(heads, ["qh", "nq", "qb"]).select("query_id", "id")).distinct().join(q, "query_id").join(x, "id")
     common = F.size(F.array_intersect("qt", "xt"))
-    best = both.withColumn("score", score(common, F.size(F.array_intersect("qp", "xp")), F.size("qt"), F.size("xt"), F.size("qp"))).where((common > 0) & (F.col("score") >= least))
+    best = both.withColumn("score", score(common, F.size(F.array_intersect("qp", "xp")), F.size("qt"), F.size("xt"), F.col("qb").bitwiseOR(F.col("xb")))).where((common > 0) & (F.col("score") >= least))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
 
@@ -126,39 +214,75 @@ def select_address(candidates: DataFrame, group: str, weights: dict[str, int], p
     return scored.groupBy(group).agg(F.max_by(F.struct(*others), F.struct("score", "id")).alias("x")).select(group, "x.*")
 
 
+def reference_words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda x: F.length(x) > 0)
+
+
 def features(text: Column) -> Column:
-    """Distinct tokens, character trigrams and token pairs of a normalised name."""
-    words = tokens(text)
-    joined = F.array_join(words, " ")
-    tri = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: F.concat(F.lit("3:"), F.substring(joined, i, F.lit(3))))
-    bi = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat(F.lit("2:"), F.element_at(words, i), F.lit(" "), F.try_element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, tri, bi))
+    """Distinct words, trigrams of each word, and pairs of adjacent words of a name."""
+
+    def made(words: Column) -> Column:
+        spans = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+        tri = F.flatten(F.transform(words, lambda w: F.transform(spans(F.length(w) - 2), lambda i: F.concat(F.lit("3:"), F.substring(w, i, F.lit(3))))))
+        bi = F.transform(spans(F.size(words) - 1), lambda i: F.concat(F.lit("2:"), F.get(words, i - 1), F.lit(" "), F.get(words, i)))
+        return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("1:"), w)), tri, bi))
+
+    return _bound(reference_words(text), made)
 
 
-def reference_match(texts: DataFrame, reference: DataFrame, least: float = 0.42) -> DataFrame:
-    """(id, ref_id, name, exact, lexical, score): names and aliases that a text holds or resembles.
+def read_reference(records: DataFrame) -> DataFrame:
+    """(ref_id, kind, name, aliases) of records with id, kind or type, name or customer_name, aliases, as far as they have
+    them; ord numbers records for the id where there is none.  Records without a name are left out; the name is an alias."""
+    col = lambda *names: F.coalesce(*(F.col(f"`{n}`").cast("string") for n in names if n in records.columns), F.lit(None).cast("string"))
+    kind, name = F.coalesce(col("kind", "type"), F.lit("reference")), F.coalesce(col("name", "customer_name"), F.lit(""))
+    given = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in records.columns else F.array().cast("array<string>")
+    aliases = F.filter(F.concat(given, F.array(name)), lambda a: F.length(F.trim(a)) > 0)
+    place = F.col("ord") if "ord" in records.columns else F.monotonically_increasing_id()
+    return records.select(F.coalesce(col("id"), F.concat(kind, F.lit(":"), place.cast("string"))).alias("ref_id"), kind.alias("kind"), name.alias("name"), aliases.alias("aliases")).where("name <> ''")
 
-    texts: id, text; reference: ref_id, name, aliases.  Sides meet on shared features only.
+
+def reference_match(texts: DataFrame, reference: DataFrame, least: float = 0.42, similar: float = 0.45) -> DataFrame:
+    """(id, ref_id, kind, name, alias, exact, lexical, score): names and aliases that a text holds or resembles.
+
+    texts: id, text; reference: ref_id, kind, name, aliases.  exact: 1 if the alias's words stand in the text one after
+    another, 0.92 if its letters do, without spaces; lexical: the share of its features the text has.  Of a record the
+    alias of the highest exact, then lexical score counts.
+
+    An alias meets a text by its rarest features, as many as one must be among for the share `similar` to be
+    reached, and by its rarest trigram without spaces; what all texts have in common pairs nothing.
     """
-    r = reference.select("ref_id", "name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("alias"))
-    r = r.withColumn("rf", features(F.col("alias"))).withColumn("rn", F.array_join(tokens(F.col("alias")), " "))
-    t = texts.select("id", features(F.col("text")).alias("tf"), F.array_join(tokens(F.col("text")), " ").alias("tn"))
-    shared = t.select("id", F.explode("tf").alias("f")).join(r.select("ref_id", "alias", F.explode("rf").alias("f")), "f").groupBy("id", "ref_id", "alias").agg(F.count(F.lit(1)).alias("n"))
-    both = shared.join(t.select("id", "tn"), "id").join(r, ["ref_id", "alias"])
+    grams = lambda x, n: F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: i + n - 1 <= F.length(x)), lambda i: F.concat(F.lit("c:"), F.substring(x, i, n))))
+    r = reference.select("ref_id", "kind", "name", F.posexplode(F.array_distinct("aliases")).alias("a", "alias"))
+    r = r.withColumns({"rf": features(F.col("alias")), "rn": F.array_join(reference_words(F.col("alias")), " ")}).where("rn <> ''").withColumn("rc", F.replace("rn", F.lit(" ")))
+    r = materialise(r.withColumn("cf", grams(F.col("rc"), F.least(F.length("rc"), F.lit(3)))), "match-reference")
+    t = texts.select("id", features(F.col("text")).alias("tf"), F.array_join(reference_words(F.col("text")), " ").alias("tn")).where("tn <> ''").withColumn("tc", F.replace("tn", F.lit(" ")))
+    t = materialise(t, "match-texts")
+    emitted = t.select("id", F.explode(F.concat("tf", *(grams(F.col("tc"), F.lit(n)) for n in (1, 2, 3)))).alias("f"))
+    wanted = r.select("ref_id", "a", F.size("rf").alias("n"), F.explode(F.concat("rf", "cf")).alias("f"))
+    known = emitted.join(wanted.select("f").distinct(), "f", "left_semi")
+    often = known.groupBy("f").count()
+    side = F.startswith("f", F.lit("c:"))
+    rank = F.row_number().over(Window.partitionBy("ref_id", "a", side).orderBy(F.coalesce("count", F.lit(0)), "f"))
+    probes = wanted.join(often, "f", "left").withColumn("rank", rank)
+    probes = probes.where(F.when(side, F.col("rank") == 1).otherwise(F.col("rank") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1)).select("ref_id", "a", "f")
+    met = known.join(probes, "f").select("id", "ref_id", "a").distinct()
+    both = met.join(t, "id").join(r, ["ref_id", "a"])
     phrase = F.contains(F.concat(F.lit(" "), "tn", F.lit(" ")), F.concat(F.lit(" "), "rn", F.lit(" ")))
-    compact = F.contains(F.replace("tn", F.lit(" ")), F.replace("rn", F.lit(" ")))
-    exact = F.when(phrase, 1.0).when(compact, 0.92).otherwise(0.0)
-    both = both.withColumns({"exact": exact, "lexical": F.round(F.col("n") / F.size("rf"), 6)}).withColumn("score", F.round(0.65 * F.col("exact") + 0.35 * F.col("lexical"), 6))
-    kept = both.where(((F.col("exact") > 0) | (F.col("lexical") >= 0.45)) & (F.col("score") >= least))
-    return kept.groupBy("id", "ref_id", "name").agg(F.max("exact").alias("exact"), F.max("lexical").alias("lexical"), F.max("score").alias("score"))
+    enough = F.size(F.split("tn", " ")) >= F.size(F.split("rn", " "))
+    exact = F.when(phrase, 1.0).when(enough & F.contains("tc", F.col("rc")), 0.92).otherwise(0.0)
+    lexical = F.round(F.size(F.array_intersect("rf", "tf")) / F.size("rf"), 6)
+    both = both.withColumns({"exact": exact, "lexical": lexical}).where((F.col("exact") > 0) | (F.col("lexical") >= similar))
+    best = both.groupBy("id", "ref_id", "kind", "name").agg(F.max(F.struct("exact", "lexical", "alias")).alias("b"))
+    out = best.select("id", "ref_id", "kind", "name", "b.alias", "b.exact", "b.lexical")
+    return out.withColumn("score", F.round(0.65 * F.col("exact") + 0.35 * F.col("lexical"), 6)).where(F.col("score") >= least)
 
 
 def lexical_vector(rows: DataFrame, id: str, text: str, dim: int = 128) -> DataFrame:
-    """(id, pos, value): signed feature hashing of a text's features, L2 normalised, as sparse rows."""
-    f = rows.select(id, F.explode(features(F.col(text))).alias("f")).withColumn("h", F.xxhash64("f"))
-    sums = f.groupBy(id, F.pmod("h", F.lit(dim)).cast("int").alias("pos")).agg(F.sum(F.when(F.pmod(F.shiftright("h", 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("v"))
-    n = sums.groupBy(id).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return sums.join(n, id).where("n > 0").select(id, "pos", (F.col("v") / F.col("n")).alias("value"))
+    """(id, vector): signed feature hashing of a text's features, L2 normalised; null for a text without features."""
+    codes = F.transform(features(F.col(text)), lambda f: F.xxhash64(f))
+    sign = lambda h: F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    sums = F.aggregate(codes, F.array_repeat(F.lit(0.0), dim), lambda v, h: F.transform(v, lambda x, i: x + F.when(i == F.pmod(h, F.lit(dim)), sign(h)).otherwise(0.0)))
+    return rows.select(id, _bound(sums, lambda v: _bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))).alias("vector"))
 
 
 def component(text: Column, name: Column) -> Column:
@@ -168,9 +292,162 @@ def component(text: Column, name: Column) -> Column:
     return F.try_element_at(known, name)
 
 
+# -- rule functions on indexes
+
+
+INDEXED = {
+    "c_addr_index_score": ("c", 1), "b_addr_index_match": ("b", 1), "m_addr_index_match_id": ("m", 1),
+    "c_ref_match_count": ("c", 2), "m_ref_match_name": ("m", 2), "m_ref_match_id": ("m", 2),
+    "c_ref_exact_score": ("c", 2), "c_ref_lexical_score": ("c", 2), "c_ref_match_score": ("c", 2), "b_ref_match": ("b", 3),
+}
+MATCHED = 0.85
+_NO_MATCH = "struct<id:string,score:double>"
+_FOUND = "array<struct<ord:double,kind:string,name:string,ref_id:string,exact:double,lexical:double,score:double>>"
+
+
+def attach(df: DataFrame, ctx, rules, index: DataFrame | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """df with the best index record and the reference matches of every text that the rules ask an index function about.
+
+    index: id, canonical, parts (see index_records); reference: see read_reference; both best a table, not a plan.  Each distinct text is matched
+    once, by joins, and ctx is told in which columns the results stand; evaluate(df, rules, ctx) then finds them.
+    """
+    from rulegrain.plans.grammar import calls_in, parse_rules
+
+    parsed = parse_rules(rules) if isinstance(rules, str) else rules
+    calls = [c for r in parsed for node in (r.when, *r.then) for c in calls_in(node) if c.name in INDEXED]
+    for node in {repr(c.args[0]): c.args[0] for c in calls}.values():
+        text = F.lit(node.value) if hasattr(node, "value") else F.col(str(node))
+        name = f"__match_{len(ctx.attached)}"
+        texts = df.select(text.alias("text")).where("text is not null").distinct()
+        joined, at = df.withColumn("__text", text), {}
+        uses = {c.name[:6] for c in calls if repr(c.args[0]) == repr(node)}
+        if uses & {"c_addr", "b_addr", "m_addr"}:
+            if index is None:
+                raise ValueError("the rules ask an address index, and none is given")
+            queries = texts.select(F.col("text").alias("id"), standardize(F.col("text")).alias("s")).select("id", "s.canonical", "s.parts")
+            best = match_index(queries, index, 1).select(F.col("query_id").alias("__text"), F.struct(F.col("id").cast("string").alias("id"), "score").alias(f"{name}a"))
+            joined, at["a"] = joined.join(best, "__text", "left"), f"{name}a"
+        if any(c.name.split("_")[1] == "ref" for c in calls if repr(c.args[0]) == repr(node)):
+            if reference is None:
+                raise ValueError("the rules ask a reference, and none is given")
+            found = reference_match(texts.select(F.col("text").alias("id"), "text"), reference)
+            row = F.struct((-F.col("score")).alias("ord"), "kind", "name", "ref_id", "exact", "lexical", "score")
+            found = found.groupBy(F.col("id").alias("__text")).agg(F.sort_array(F.collect_list(row)).alias(f"{name}r"))
+            joined, at["r"] = joined.join(found, "__text", "left"), f"{name}r"
+        df = joined.drop("__text")
+        ctx.attached[repr(node)] = at
+    return df
+
+
+def index_records(records: DataFrame, id: str, text: str) -> DataFrame:
+    """An address index (id, canonical, parts, display) of a table of texts; records without an id are named by `ord`, their number."""
+    place = F.col("ord") if "ord" in records.columns else F.monotonically_increasing_id()
+    made = records.select(F.coalesce(F.col(id).cast("string"), F.concat(F.lit("record:"), place.cast("string"))).alias("id"), standardize(F.col(text)).alias("s"))
+    return made.select("id", "s.canonical", "s.parts", "s.display")
+
+
+def _indexed(name: str):
+    kind, arity = INDEXED[name]
+
+    def build(compiler, args, it):
+        if len(args) != arity:
+            raise ValueError(f"{name} requires {arity} arguments, got {len(args)}")
+        at = compiler.ctx.attached.get(repr(args[0]))
+        if at is None:
+            raise ValueError(f"{name}: attach() the index to the facts first")
+        if "addr" in name:
+            best = F.col(at["a"])
+            thousandths = F.floor(F.coalesce(best["score"], F.lit(0.0)) * 1000 + 1e-9)
+            return {"c": thousandths, "b": F.coalesce(best["score"] >= MATCHED, F.lit(False)), "m": F.coalesce(best["id"], F.lit(""))}[kind]
+        wanted = compiler.value(args[1], it)
+        of_kind = F.filter(F.coalesce(F.col(at["r"]), F.array().cast(_FOUND)), lambda m: m["kind"] == wanted)
+        first = F.get(of_kind, F.lit(0))
+        score = lambda field: F.floor(F.coalesce(first[field], F.lit(0.0)) * 1000 + 1e-9)
+        if name == "b_ref_match":
+            known = compiler.value(args[2], it)
+            return F.exists(of_kind, lambda m: m["name"] == known)
+        return {
+            "c_ref_match_count": lambda: F.size(of_kind).cast("long"), "m_ref_match_name": lambda: F.coalesce(first["name"], F.lit("")), "m_ref_match_id": lambda: F.coalesce(first["ref_id"], F.lit("")),
+            "c_ref_exact_score": lambda: score("exact"), "c_ref_lexical_score": lambda: score("lexical"), "c_ref_match_score": lambda: score("score"),
+        }[name]()
+
+    return build
+
+
+# -- policy facts and verification
+
+
+def role_from_context(text: Column) -> Column:
+    low = F.translate(text, UPPER, LOWER)
+    has = lambda *words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    return F.when(has("ship-to", "ship to", "shipto"), "ship_to").when(has("bill-to", "bill to", "billto"), "bill_to")
+
+
+def policy_fact(text: Column, standardized: Column, customer: Column | None = None, role: Column | None = None) -> Column:
+    """The fact that address rules decide on; customer and role: as the record's own fields give them."""
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        F.coalesce(customer if customer is not None else nothing, F.lit("")).alias("customer"),
+        F.coalesce(role if role is not None else nothing, role_from_context(text), F.lit("bill_to")).alias("role"),
+        standardized["valid"].alias("address_valid"), standardized["display"].alias("standardized"), text.alias("source_text"),
+        F.lit("unmatched").alias("reference_status"), F.lit("").alias("reference_name"), F.lit("pending").alias("policy_status"), F.lit("awaiting policy evaluation").alias("policy_reason"),
+    )
+
+
+def standardize_with_index(rows: DataFrame, text: str, index: DataFrame, limit: int = 5) -> DataFrame:
+    """rows with `native`: the standardised text, its matches in the index, and a score and validity that the best match may raise."""
+    texts = rows.select(F.col(text).alias("id")).where("id is not null").distinct().select("id", standardize(F.col("id")).alias("s"))
+    found = match_index(texts.select("id", "s.canonical", "s.parts"), index, limit)
+    found = found.groupBy(F.col("query_id").alias("__text")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("__found"))
+    joined = rows.withColumn("__text", F.col(text)).join(found, "__text", "left").withColumn("__s", standardize(F.col(text)))
+    matches = F.coalesce("__found", F.array().cast(found.schema["__found"].dataType))
+    best = F.coalesce(F.get(matches, F.lit(0))["score"], F.lit(0.0))
+    native = F.struct(F.col("__s.address").alias("address"), F.col("__s.parts").alias("parts"), F.col("__s.display").alias("display"), F.col("__s.canonical").alias("canonical"), F.col("__s.key").alias("key"), F.greatest(F.col("__s.score"), best).alias("score"), (F.col("__s.valid") | (best >= MATCHED)).alias("valid"), matches.alias("matches"))
+    return joined.withColumn("native", native).drop("__text", "__found", "__s")
+
+
+def verify(rows: DataFrame, text: str, rules: str, index: DataFrame, reference: DataFrame, ctx=None) -> DataFrame:
+    """rows with native, AddressDecision (as the rules left it), reference_matches, fired and trace.
+
+    A text is standardised against the index, its customer is the best reference of kind "customer", and the rules decide on
+    the fact AddressDecision; they may ask the index functions about AddressDecision.source_text or .standardized.
+    """
+    from rulegrain.plans.forward import Context, evaluate
+
+    ctx = ctx or Context()
+    index, reference = materialise(index, "index"), materialise(reference, "reference")
+    out = standardize_with_index(rows, text, index).withColumn("AddressDecision", policy_fact(F.coalesce(F.col(text), F.lit("")), F.col("native")))
+    texts = rows.select(F.col(text).alias("id"), F.col(text).alias("text")).where("id is not null").distinct()
+    row = F.struct((-F.col("score")).alias("ord"), "kind", "name", "ref_id", "exact", "lexical", "score")
+    found = reference_match(texts, reference).groupBy(F.col("id").alias("__text")).agg(F.sort_array(F.collect_list(row)).alias("reference_matches"))
+    out = out.withColumn("__text", F.col(text)).join(found, "__text", "left").drop("__text").withColumn("reference_matches", F.coalesce("reference_matches", F.array().cast(_FOUND)))
+    out = materialise(out, "standardized")
+    customer = F.get(F.filter("reference_matches", lambda m: m["kind"] == "customer"), F.lit(0))["name"]
+    fact = F.col("AddressDecision")
+    for field, value in (("customer", customer), ("reference_status", F.when(customer.isNotNull(), "matched")), ("reference_name", customer)):
+        fact = fact.withField(field, F.coalesce(value, F.col(f"AddressDecision.{field}")))
+    out = out.withColumn("AddressDecision", fact)
+    done = evaluate(attach(out, ctx, rules, index, reference), rules, ctx)
+    return done.drop(*(c for c in done.columns if c.startswith("__match_")))
+
+
+def _standardize_action(call):
+    """standardize_address(text, "Target.path"): writes the standardised line."""
+    from rulegrain.plans.grammar import Assign, Call, Lit, Path, RuleError
+
+    if len(call.args) != 2 or not (isinstance(call.args[1], Lit) and isinstance(call.args[1].value, str)):
+        raise RuleError('standardize_address takes a text and a target, "Fact.field"')
+    return [Assign(Path(tuple(call.args[1].value.split("."))), Call("m_addr_standardize", (call.args[0],)))]
+
+
 def register(registry) -> None:
-    """The built-in analyser as rule functions; its confidence is the validity score."""
+    """The built-in analyser and the indexes as rule functions; the analyser's confidence is its validity score."""
+    from rulegrain.functions.registry import Spec
+
     registry.register("c_addr_confidence", "c", lambda text: standardize(text)["score"], 1)
     registry.register("m_addr_standardize", "m", lambda text: standardize(text)["canonical"], 1)
     registry.register("m_addr_component", "m", lambda text, name: F.coalesce(component(text, name), F.lit("")), 2)
     registry.register("b_addr_has_component", "b", lambda text, name: component(text, name).isNotNull(), 2)
+    registry.register_action("standardize_address", _standardize_action)
+    for name, (kind, _) in INDEXED.items():
+        registry.functions[name] = Spec(kind, _indexed(name))

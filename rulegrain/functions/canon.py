@@ -64,13 +64,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda x: F.length(x) > 0)
 
 
+def log_masked(text: Column) -> Column:
+    """struct<canonical, vars>: the canonical log line and what was masked, each token looked at once."""
+
+    def both(t: Column) -> Column:
+        vars = F.filter(F.transform(t, lambda x: x["var"]), lambda x: x.isNotNull())
+        return F.struct(F.array_join(F.transform(t, lambda x: x["text"]), " ").alias("canonical"), vars.alias("vars"))
+
+    return F.transform(F.array(F.transform(tokens(text), _token)), both)[0]
+
+
 def log_mask(text: Column) -> Column:
     """Canonical log line: white space made single, variable tokens masked."""
     return F.array_join(F.transform(tokens(text), lambda x: _token(x)["text"]), " ")
 
 
 def log_vars(text: Column) -> Column:
-    return F.filter(F.transform(tokens(text), lambda x: _token(x)["var"]), lambda x: x.isNotNull())
+    return log_masked(text)["vars"]
+
+
+def identity(text: Column) -> Column:
+    return text
 
 
 def squeeze(text: Column) -> Column:
@@ -84,6 +98,9 @@ def exec_key(tool: Column, backend: Column, effort: Column, text: Column) -> Col
 _VARIABLE_PY = re.compile(_IS_VARIABLE.replace(r"\-", "-"))
 
 
+_BEGINS = tuple('{["-0123456789tfn')  # what a JSON text may begin with
+
+
 def _canonical_json(value, schema: bool):
     if isinstance(value, dict):
         return {k: _canonical_json(value[k], schema) for k in sorted(value)}
@@ -100,10 +117,16 @@ def _canonical_json(value, schema: bool):
     return MASK if _VARIABLE_PY.match(value) else value
 
 
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _printed(text: str | None, schema: bool) -> str | None:
+    if not text or text.lstrip(" \t\r\n")[:1] not in _BEGINS:
+        return None
     try:
-        value = json.loads(text)
-    except (TypeError, ValueError):
+        value = json.loads(text, parse_constant=_refused)
+    except (ValueError, RecursionError):
         return None
     return json.dumps(_canonical_json(value, schema), ensure_ascii=False, separators=(",", ":"))
 
@@ -130,6 +153,21 @@ def canonical(text: Column) -> Column:
     return F.when(F.regexp(text, F.lit(r"^\s*[{\[]")), json_hybrid(text)).otherwise(log_mask(text))
 
 
+#: Strategies by name, each with the version that cache namespaces carry.
+STRATEGIES = {"log-mask": (log_mask, 1), "json-hybrid": (json_hybrid, 1), "json-schema": (json_schema, 1), "auto": (canonical, 1), "identity": (identity, 1)}
+
+
+def namespace(strategy: str) -> str:
+    """Of the cache of canonical texts: strategy and version."""
+    return f"{strategy}/v{STRATEGIES[strategy][1]}"
+
+
+def search_text(request: Column, answer: Column) -> Column:
+    """What an execution record is searched by: the request's query or content, or the whole request, a line feed, and the answer."""
+    part = lambda name: F.get_json_object(request, f"$.{name}")
+    return F.concat(F.coalesce(part("query"), part("content"), request, F.lit("")), F.lit("\n"), F.coalesce(answer, F.lit("")))
+
+
 _LOW, _HIGH = 0x84222325, 0xCBF29CE4  # fixed values: FNV-1a offset basis
 _PRIME_LOW = 0x1B3
 

@@ -62,6 +62,10 @@ class Router:
     def add(self, spark: SparkSession, label: str, examples: Iterable[str], kind: str = "auto", threshold: int = THRESHOLD) -> int:
         """Registers (or replaces) a set; gives the number of its examples. A kind other than "log" and "json" is automatic."""
         kind, examples = kind.strip().lower(), list(examples)
+        if not label.strip():
+            raise ValueError("a pattern set needs a label")
+        if not 0 <= threshold <= 64:
+            raise ValueError(f"a threshold is 0 to 64 bits, not {threshold}")
         made = PatternSet(label, kind, threshold, (), ())
         rows = spark.createDataFrame([(e,) for e in examples], "text string").select(made.form(F.col("text")).alias("form"))
         found = rows.select(canon.fnv1a(F.col("form")), canon.simhash(F.col("form"))).collect()

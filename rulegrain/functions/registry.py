@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,14 @@ def standard_registry(router=None) -> Registry:
     from rulegrain.functions import address, canon, patterns, vector
 
     registry = Registry()
-    registry.register("len", "c", lambda x: F.length(x.cast("string")), 1)
+
+    def length(compiler, args, it):
+        if len(args) != 1:
+            raise ValueError(f"len requires 1 arguments, got {len(args)}")
+        x = compiler.value(args[0], it)
+        return F.array_size(x) if isinstance(compiler.kind(args[0]), ArrayType) else F.length(x.cast("string"))
+
+    registry.functions["len"] = Spec("c", length)
     registry.register_action("LogMessage", lambda call: [])
     vector.register(registry)
     canon.register(registry)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+import zlib
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulegrain.plans.grammar import Items, Lit, RuleError
@@ -16,8 +18,14 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def zipped(a: Column, b: Column, make) -> Column:
+    """make of the components, pair by pair; vectors of different lengths are an error, a null vector gives null."""
+    wrong = F.raise_error(F.concat(F.lit("vectors of dimensions "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
+    return F.when(F.size(a) == F.size(b), F.zip_with(doubles(a), doubles(b), make)).when(a.isNotNull() & b.isNotNull(), wrong.cast("array<double>"))
+
+
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(zipped(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
@@ -35,15 +43,15 @@ def contrast(x: Column, pos: Column, neg: Column) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x + y)
+    return zipped(a, b, lambda x, y: x + y)
 
 
 def sub(a: Column, b: Column) -> Column:
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
+    return zipped(a, b, lambda x, y: x - y)
 
 
 def mul(a: Column, b: Column) -> Column:
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x * y)
+    return zipped(a, b, lambda x, y: x * y)
 
 
 def scale(a: Column, k: Column | float) -> Column:
@@ -63,7 +71,7 @@ def valid(v: Column, dim: int | None = None) -> Column:
 
 
 def l2_squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(zipped(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -133,23 +141,29 @@ def depth(v: Column, region) -> Column:
 # -- embedders: a text to a vector, as a Column and in Python
 
 
-class KeywordEmbedder:
-    """Deterministic test embedder: a constant, counts of keyword groups, and a small hash of the text."""
+class HashingEmbedder:
+    """Signed feature hashing of lower-case words into `dim` slots: needs no model, for tests and examples.
+
+    A word's slot and sign come from its CRC-32, which Spark and Python agree on.
+    """
 
-    def __init__(self, groups: list[list[str]], model: str = "keyword"):
-        self.groups, self.model, self.dim = groups, model, len(groups) + 2
+    def __init__(self, dim: int = 64, model: str = "hashing"):
+        self.dim, self.model = dim, model
 
     def column(self, text: Column) -> Column:
-        low = F.lower(text)
-        counts = [sum((((F.length(low) - F.length(F.replace(low, F.lit(w)))) / len(w)).cast("double") for w in g), F.lit(0.0)) for g in self.groups]
-        code = F.aggregate(F.split(F.hex(text.cast("binary")), "(?<=\\G..)"), F.lit(0).cast("long"), lambda h, b: F.when(F.length(b) == 2, (h * 31 + F.conv(b, 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(h))
-        return F.array(F.lit(1.0), *counts, (code % 97) / 970.0)
+        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        codes = F.transform(words, lambda w: F.crc32(w.cast("binary")))
+        signed = lambda c: F.when(F.shiftright(c, 31) == 0, 1.0).otherwise(-1.0)
+        zero = F.array_repeat(F.lit(0.0), self.dim)
+        return F.aggregate(codes, zero, lambda v, c: F.transform(v, lambda x, i: x + F.when(i == c % self.dim, signed(c)).otherwise(0.0)))
 
     def embed(self, text: str) -> list[float]:
-        low, h = text.lower(), 0
-        for b in text.encode():
-            h = (h * 31 + b) & 0xFFFFFFFF
-        return [1.0, *(float(sum(low.count(w) for w in g)) for g in self.groups), (h % 97) / 970.0]
+        out = [0.0] * self.dim
+        for word in re.split(r"[\W_]+", text.lower()):
+            if word:
+                code = zlib.crc32(word.encode())
+                out[code % self.dim] += -1.0 if code >> 31 else 1.0
+        return out
 
 
 class TableEmbedder:
@@ -160,8 +174,9 @@ class TableEmbedder:
         self.dim = len(next(iter(vectors.values()))) if vectors else 0
 
     def column(self, text: Column) -> Column:
+        """For a handful of texts; a table of vectors is joined by with_vectors()."""
         pairs = [x for k, v in self.vectors.items() for x in (F.lit(k), literal(v))]
-        found = F.element_at(F.create_map(*pairs), text)
+        found = F.try_element_at(F.create_map(*pairs), text) if pairs else F.lit(None).cast("array<double>")
         return F.when(text.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no vector for text: "), text)).cast("array<double>"))
 
     def embed(self, text: str) -> list[float]:
@@ -170,6 +185,38 @@ class TableEmbedder:
         return self.vectors[text]
 
 
+class CanonicalEmbedder:
+    """Another embedder over canonical texts: texts with one canonical form share a vector and a cache entry.
+
+    strategy: a builder of Columns, and the same in Python; namespace: names strategy and version.
+    """
+
+    def __init__(self, inner, strategy, plain, namespace: str):
+        self.inner, self.strategy, self.plain, self.namespace = inner, strategy, plain, namespace
+        self.model, self.dim = inner.model, inner.dim
+
+    def column(self, text: Column) -> Column:
+        return self.inner.column(self.strategy(text))
+
+    def embed(self, text: str) -> list[float]:
+        return self.inner.embed(self.plain(text))
+
+    def key(self, text: str) -> str:
+        return text_key(self.model, self.namespace, self.plain(text))
+
+
+def with_vectors(rows: DataFrame, text: str, vectors: DataFrame, strategy=None, out: str = "vector") -> DataFrame:
+    """rows with the vector of their text (its canonical form, if strategy is given) from vectors(text, vector), by a join.
+
+    A text without a vector is an error that names it; a null text has none.
+    """
+    form = strategy or (lambda x: x)
+    known = vectors.select(form(F.col("text")).alias("__form"), F.col("vector").alias("__vector")).dropDuplicates(["__form"])
+    joined = rows.withColumn("__form", form(F.col(text))).join(known, "__form", "left")
+    missing = F.raise_error(F.concat(F.lit("no vector for text: "), F.col(text))).cast(known.schema["__vector"].dataType)
+    return joined.withColumn(out, F.when(F.col("__vector").isNotNull() | F.col(text).isNull(), F.col("__vector")).otherwise(missing)).drop("__form", "__vector")
+
+
 def model_id(name: str, digest: str, dim: int) -> dict:
     """Checked identity of a model; token is name and the first 8 bytes of the digest."""
     if not name or name in ("placeholder", "model", "unknown"):
@@ -181,6 +228,12 @@ def model_id(name: str, digest: str, dim: int) -> dict:
     return {"name": name, "digest": digest, "dim": dim, "token": f"{name}-{digest[:16]}"}
 
 
+def text_key_column(model: Column, namespace: Column, text: Column) -> Column:
+    """text_key() of columns."""
+    part = lambda x, n: F.substring(F.sha2(x.cast("binary"), 256), 1, 2 * n)
+    return F.concat(part(model, 8), part(namespace, 8), part(text, 16))
+
+
 def text_key(model: str, namespace: str, text: str) -> str:
     part = lambda x, n: hashlib.sha256(x.encode()).hexdigest()[: 2 * n]
     return part(model, 8) + part(namespace, 8) + part(text, 16)

@@ -12,10 +12,11 @@ import math
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.functions.vector import literal, normalize, project, unit
+from rulegrain.functions.vector import literal, normalize, project, unit, with_vectors
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,32 @@ def calibrate(axis: Axis, reference: DataFrame, column: str = "embedding") -> Ax
     return Axis(axis.name, axis.direction, axis.model, axis.dim, points.tolist())
 
 
+def _products(batches):
+    """The sum of a partition's outer products, as (i, j, s)."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            rows = flat.reshape(batch.num_rows, -1)
+            total = rows.T @ rows if total is None else total + rows.T @ rows
+    if total is not None:
+        i, j = np.indices(total.shape, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(i.reshape(-1)), pa.array(j.reshape(-1)), pa.array(total.reshape(-1))], names=["i", "j", "s"])
+
+
+def exemplars(texts: DataFrame, vectors: DataFrame, text: str = "text", strategy=None) -> DataFrame:
+    """(text, embedding): the vectors of exemplar texts, found by (canonical) text; a text without one is an error that names it."""
+    return with_vectors(texts.select(F.col(text)), text, vectors, strategy, "embedding")
+
+
+def fit_axis_texts(name: str, positive: DataFrame, negative: DataFrame, vectors: DataFrame, model: str, strategy=None) -> Axis:
+    return fit_axis(name, exemplars(positive, vectors, strategy=strategy), exemplars(negative, vectors, strategy=strategy), model)
+
+
+def fit_region_texts(name: str, cloud: DataFrame, vectors: DataFrame, rank: int, coverage: float, model: str, strategy=None) -> Region:
+    return fit_region(name, exemplars(cloud, vectors, strategy=strategy), rank, coverage, model)
+
+
 def fit_region(name: str, cloud: DataFrame, rank: int, coverage: float, model: str, column: str = "embedding") -> Region:
     """Centre, principal directions with their spread, rest spread, and the depth that covers the given share (nearest rank)."""
     if rank < 1 or not 0 < coverage <= 1:
@@ -84,8 +111,8 @@ def fit_region(name: str, cloud: DataFrame, rank: int, coverage: float, model: s
         raise ValueError("a region needs three vectors")
     center = centroid(unit_rows, "v")
     dim = len(center)
-    pairs = unit_rows.select(F.posexplode(F.zip_with("v", literal(center), lambda x, c: x - c)).alias("i", "x"), F.zip_with("v", literal(center), lambda x, c: x - c).alias("d"))
-    sums = pairs.select("i", F.posexplode("d").alias("j", "y"), "x").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # dim * dim rows
+    shifted = unit_rows.select(F.zip_with("v", literal(center), lambda x, c: x - c).alias("d"))
+    sums = shifted.mapInArrow(_products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # dim * dim rows
     cov = np.zeros((dim, dim))
     for r in sums:
         cov[r["i"], r["j"]] = r["s"] / n

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from rulegrain.functions import canon
+from rulegrain.plans.backward import prove
 from rulegrain.plans.forward import Context, evaluate
-from rulegrain.plans.grammar import Path, parse_rules, paths_in
+from rulegrain.plans.grammar import Path, RuleError, parse_rules, paths_in
 
 
 def load_pack(spark: SparkSession, folders: list[str]) -> str:
@@ -64,16 +68,103 @@ def tool_group(tool):
     return F.when(tool.startswith("memory_"), "memory").when(tool.startswith("rules_"), "rules").when(tool.startswith("whatif_"), "whatif").otherwise("capability")
 
 
+def ancestors(revisions: DataFrame, start: str) -> DataFrame:
+    """(revision): a revision and all it comes from, by (revision, parent) rows."""
+    name = f"__revisions_{uuid.uuid4().hex}"
+    revisions.createOrReplaceTempView(name)
+    try:
+        return revisions.sparkSession.sql(
+            f"WITH RECURSIVE up(revision) AS (SELECT :start UNION ALL SELECT r.parent FROM up JOIN {name} r ON r.revision = up.revision WHERE r.parent IS NOT NULL) SELECT DISTINCT revision FROM up",
+            args={"start": start},
+        )
+    finally:
+        revisions.sparkSession.catalog.dropTempView(name)
+
+
 def can_promote(revisions: DataFrame, head: str, target: str, sign_off: str | None) -> bool:
     """Sign-off given, and head is among target's ancestors (a fast-forward)."""
-    if not sign_off:
-        return False
-    revisions.createOrReplaceTempView("__revisions")
-    found = revisions.sparkSession.sql(
-        "WITH RECURSIVE up(revision) AS (SELECT :target UNION ALL SELECT r.parent FROM up JOIN __revisions r ON r.revision = up.revision WHERE r.parent IS NOT NULL) SELECT 1 FROM up WHERE revision = :head LIMIT 1",
-        args={"target": target, "head": head},
-    )
-    return not found.isEmpty()
+    return bool(sign_off) and not ancestors(revisions, target).where(F.col("revision") == head).isEmpty()
+
+
+def load_at(sources: DataFrame, revision: str) -> str:
+    """The pack at a revision, from (revision, path, source) rows: files by path, each parsed on its own first."""
+    out = []
+    for r in sources.where((F.col("revision") == revision) & F.col("path").endswith(".grl")).orderBy("path").collect():  # the files of one pack
+        try:
+            parse_rules(r["source"])
+        except RuleError as e:
+            raise RuleError(f"{r['path']} at {revision}: {e}") from e
+        out.append(r["source"])
+    if not out:
+        raise RuleError(f"no rules at revision {revision}")
+    return "\n".join(out)
+
+
+def branch_heads(branches: DataFrame) -> DataFrame:
+    """(branch, revision): the last revision of each branch, from (branch, revision, moved_at) rows."""
+    return branches.groupBy("branch").agg(F.max_by("revision", F.struct("moved_at", "revision")).alias("revision"))
+
+
+def listing(pack: str, revision: str | None = None) -> dict:
+    return {"count": len(parse_rules(pack)), "source": pack, **({"revision": revision} if revision else {})}
+
+
+def run(facts: DataFrame, pack: str | None = None, inline: str | None = None, sources: DataFrame | None = None, revision: str | None = None, ctx: Context | None = None) -> DataFrame:
+    """Evaluate one of: the active pack, rules given inline, or the pack at a revision."""
+    if sum(x is not None for x in (inline, revision)) > 1:
+        raise ValueError("give rules or a revision, not both")
+    if revision is not None and sources is None:
+        raise ValueError("a revision needs the sources it is in")
+    text = inline if inline is not None else load_at(sources, revision) if revision is not None else pack
+    if text is None:
+        raise ValueError("there is no active pack")
+    if not any(isinstance(f.dataType, StructType) for f in facts.schema.fields):
+        raise ValueError("there must be a fact, a struct column, at least")
+    return evaluate(facts, text, ctx)
+
+
+def what_if(facts: DataFrame, pack: str, changes: dict[str, Column], key: str, ctx: Context | None = None) -> DataFrame:
+    """(key, fired, fired_if): the rules that fire now, and with fields changed ("Fact.field": Column)."""
+    changed = facts
+    for target, value in changes.items():
+        top, *rest = target.split(".")
+        changed = changed.withColumn(top, F.col(top).withField(".".join(f"`{p}`" for p in rest), value))
+    now, then = (evaluate(df, pack, ctx).select(F.col(key).alias(k), F.col("fired").alias(name)) for df, k, name in ((facts, "k", "fired"), (changed, "k2", "fired_if")))
+    return now.join(then, F.col("k").eqNullSafe(F.col("k2"))).select(F.col("k").alias(key), "fired", "fired_if")
+
+
+def what_if_proved(facts: DataFrame, pack: str, query: str, changes: dict[str, Column], key: str, ctx: Context | None = None) -> DataFrame:
+    """(key, provable, provable_if)."""
+    changed = facts
+    for target, value in changes.items():
+        top, *rest = target.split(".")
+        changed = changed.withColumn(top, F.col(top).withField(".".join(f"`{p}`" for p in rest), value))
+    now, then = (prove(df, pack, query, ctx).select(F.col(key).alias(k), F.col("proof.provable").alias(name)) for df, k, name in ((facts, "k", "provable"), (changed, "k2", "provable_if")))
+    return now.join(then, F.col("k").eqNullSafe(F.col("k2"))).select(F.col("k").alias(key), "provable", "provable_if")
+
+
+def test_run(cases: DataFrame, pack: str, ctx: Context | None = None, expected: str = "expected") -> DataFrame:
+    """Test cases (facts and the rules that should fire, in order) with fired and passed."""
+    return evaluate(cases, pack, ctx).withColumn("passed", F.col("fired").eqNullSafe(F.col(expected)))
+
+
+def audit_events(calls: DataFrame, tool: Column, backend: Column, request: Column, answer: Column, timestamp_ns: Column, embed=None, model: str | None = None) -> DataFrame:
+    """Events of stream "audit" for append_events: what was asked and answered, with the vector of its search text."""
+    record = F.to_json(F.struct(tool.alias("tool"), backend.alias("backend"), request.alias("request"), answer.alias("answer")))
+    vector = embed(canon.search_text(request, answer)).cast("array<float>") if embed is not None else F.lit(None).cast("array<float>")
+    return calls.select(F.lit("audit").alias("stream"), F.lit("execution").alias("kind"), timestamp_ns.alias("timestamp_ns"), record.alias("payload"), vector.alias("vector"), F.lit(model if embed is not None else None).cast("string").alias("embedding_model"))
+
+
+def activity_events(calls: DataFrame, tool: Column, session: Column, ok: Column, timestamp_ns: Column, duration_ms: Column | None = None) -> DataFrame:
+    """Events of stream "activity" for append_events, one for each call."""
+    record = F.to_json(F.struct(tool.alias("tool"), session.alias("session"), ok.alias("ok"), (duration_ms if duration_ms is not None else F.lit(None).cast("double")).alias("duration_ms")))
+    return calls.select(F.lit("activity").alias("stream"), F.lit("call").alias("kind"), timestamp_ns.alias("timestamp_ns"), record.alias("payload"))
+
+
+def activity(events: DataFrame) -> DataFrame:
+    """(tool, session, ok, ts) of activity events, as store.tool_stats takes them."""
+    get = lambda name: F.get_json_object("payload", f"$.{name}")
+    return events.where("stream = 'activity'").select(get("tool").alias("tool"), get("session").alias("session"), get("ok").cast("boolean").alias("ok"), F.col("timestamp_ns").alias("ts"))
 
 
 def route(requests: DataFrame, pack: str, ctx: Context | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,10 +160,103 @@ def put(log: DataFrame, rows: DataFrame, dims: dict[str, int]) -> DataFrame:
     return log.unionByName(rows)
 
 
-def add_vector(log: DataFrame, vectors: DataFrame, key: str, index: str) -> DataFrame:
-    """log with vectors of existing rows set; those of unknown keys are left out (see orphans)."""
-    new = vectors.select(F.col(key), F.col("vector").alias("__v"))
-    return log.join(new, key, "left").withColumn(index, F.coalesce("__v", F.col(index))).drop("__v")
+def add_vector(log: DataFrame, vectors: DataFrame, key: str, index: str, order: str | None = None) -> DataFrame:
+    """log with vectors of existing rows set; a key that the log doesn't have is an error (see orphans).
+
+    Of several vectors for a key the one with the highest `order` counts, without it the largest vector.
+    """
+    others = [F.col(order)] if order else []
+    new = vectors.groupBy(F.col(key)).agg(F.max(F.struct(*others, F.col("vector").alias("__v")))["__v"].alias("__v"))
+    both = log.withColumn("__in", F.lit(True)).join(new, key, "full_outer")
+    known = F.when(F.col("__in"), F.coalesce("__v", F.col(index))).otherwise(F.raise_error(F.concat(F.lit("no row for key "), F.col(key).cast("string"))).cast(log.schema[index].dataType))
+    return both.withColumn(index, known).drop("__v", "__in")
+
+
+def get(log: DataFrame, value, key: str) -> DataFrame:
+    """The row of a key, or none."""
+    return log.where(F.col(key) == F.lit(value))
+
+
+def index_len(log: DataFrame, index: str) -> int:
+    """Rows that have a vector in the index."""
+    return log.where(F.col(index).isNotNull()).count()
+
+
+def detail_backfill(log: DataFrame, coarse: str, detail: str, compute, source: str) -> DataFrame:
+    """log with the detail vectors that rows with a coarse one lack, made from their source texts.
+
+    One pass over the rows without a detail vector; there is no queue, so none is dropped.
+    """
+    lacking = F.col(detail).isNull() & F.col(coarse).isNotNull() & F.col(source).isNotNull()
+    made = compute(F.when(lacking, F.col(source))).cast(log.schema[detail].dataType)
+    return log.withColumn(detail, F.when(lacking, made).otherwise(F.col(detail)))
+
+
+def dual_search(rows: DataFrame, key: str, field: str, coarse: list[float], detail: list[float], k: int, metric="cosine", oversample: int = 4) -> DataFrame:
+    """The k nearest keys by the smaller of the distances in `field`__canon and `field`; rows may lack either vector."""
+    return ann_multi(rows, key, {f"{field}__canon": (coarse, k * oversample), field: (detail, k * oversample)}, "union", k, metric)
+
+
+def resolve(found: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """found (key, distance) with the rows of the log; a key without a row is an error."""
+    both = found.join(log.withColumn("__in", F.lit(True)), key, "left")
+    good = F.when(F.col("__in"), F.col("distance")).otherwise(F.raise_error(F.concat(F.lit("no row for key "), F.col(key).cast("string"))).cast("double"))
+    return both.withColumn("distance", good).drop("__in")
+
+
+# -- keys
+
+
+def inverse_time_key(ts_ns: Column, tie: Column | None = None) -> Column:
+    """20 digits that sort newest first, and the tie."""
+    inverse = F.lpad((F.lit((1 << 63) - 1) - ts_ns).cast("string"), 20, "0")
+    return inverse if tie is None else F.concat_ws("-", inverse, tie)
+
+
+def content_key(*parts: Column) -> Column:
+    """32 hex digits of the content: each part with its length, so that parts can't run into one another."""
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.substring(F.sha2(F.concat(*(x for t in texts for x in (F.octet_length(t).cast("string"), F.lit(":"), t))), 256), 1, 32)
+
+
+KEYS = {"inverse-time": inverse_time_key, "content": content_key}
+
+
+# -- memory: facts of agents, as events
+
+
+def memory_event(kind: str, facts: DataFrame, session: str, timestamp_ns: Column, embed=None, model: str | None = None) -> DataFrame:
+    """Events for files.append_events: kind "write" (fact, tags), "update" (id, fact, tags) or "delete" (id, reason)."""
+    if kind not in ("write", "update", "delete"):
+        raise ValueError(f"unknown kind {kind}")
+    source = F.lit(f"agent:{session}").alias("source")
+    has = lambda c, default: F.col(c) if c in facts.columns else default
+    if kind == "delete":
+        payload = F.to_json(F.struct(has("reason", F.lit(None).cast("string")).alias("reason"), source))
+    else:
+        payload = F.to_json(F.struct("fact", F.coalesce(has("tags", F.lit(None).cast("array<string>")), F.array().cast("array<string>")).alias("tags"), source))
+    none = F.lit(None)
+    vector = embed(F.col("fact")).cast("array<float>") if embed is not None and kind != "delete" else none.cast("array<float>")
+    named = F.lit(model) if embed is not None and kind != "delete" else none.cast("string")
+    return facts.select(F.lit("memory").alias("stream"), F.lit(kind).alias("kind"), timestamp_ns.alias("timestamp_ns"), payload.alias("payload"), vector.alias("vector"), named.alias("embedding_model"), (F.col("id") if kind != "write" else none.cast("string")).alias("supersedes"), F.lit(kind == "delete").alias("tombstone"))
+
+
+def memory_history(events: DataFrame, id: str) -> DataFrame:
+    """The event and what it supersedes, newest first, whole."""
+    start = events.where(F.col("id") == id).select("id")
+    return lineage(events, start).join(events, "id").drop("root").orderBy("depth")
+
+
+def memory_stats(events: DataFrame) -> DataFrame:
+    """One row: live facts, all writes, updates and deletes."""
+    memory = events.where("stream = 'memory'")
+    kinds = memory.agg(F.count_if(F.col("kind") == "write").alias("writes"), F.count_if(F.col("kind") == "update").alias("updates"), F.count_if(F.col("kind") == "delete").alias("deletes"))
+    return kinds.crossJoin(F.broadcast(live(memory).agg(F.count(F.lit(1)).alias("facts"))))  # one row each
+
+
+def session_scan(events: DataFrame, session: str, limit: int, newest: int = 10_000) -> DataFrame:
+    """The last events of a session among the newest so many."""
+    return storage_scan(storage_scan(events, None, newest).where(F.get_json_object("payload", "$.session") == session), None, limit)
 
 
 def orphans(log: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -217,26 +311,45 @@ def replay(ops: DataFrame, id: str = "id") -> DataFrame:
 # -- statistics
 
 
-def tool_stats(activity: DataFrame) -> DataFrame:
-    rows = activity.where("tool is not null")
+def tool_stats(activity: DataFrame, newest: int = 100_000, tie: list[str] | None = None) -> DataFrame:
+    """Calls, errors and the last call of each tool among the newest events; events without a tool count as such, but aren't shown."""
+    rows = activity.orderBy(F.col("ts").desc(), *(tie or [])).limit(newest).where("tool is not null")
     return rows.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("errors"), F.max("ts").alias("last_called"))
 
 
-def near_duplicates(rows: DataFrame, id: str, hash: str, threshold: int = 3) -> DataFrame:
+def stream_counts(events: DataFrame, stream: str = "stream") -> DataFrame:
+    return events.groupBy(stream).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sessions(events: DataFrame, session: str) -> DataFrame:
+    """Distinct sessions, in order."""
+    return events.select(session).where(F.col(session).isNotNull()).distinct().orderBy(session)
+
+
+def timings(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, mean, p50, p95, p99 and max of measured values; percentiles are the nearest-rank ones, approximate beyond 10,000 values a group."""
+    p = F.percentile_approx(value, [0.5, 0.95, 0.99], 10_000)
+    out = samples.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("max"))
+    return out.select(*by, "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max")
+
+
+def near_duplicates(rows: DataFrame, id: str, hash: str, threshold: int = 3, blocks: int = 6) -> DataFrame:
     """(id, first): the first earlier row (by id) whose 64-bit hash is within threshold bits.
 
-    threshold + 1 bands of bits: two hashes within threshold agree in one band, so an
-    equi-join on bands finds all pairs.  Rows of equal hash are one candidate.
+    The bits are cut into blocks; two hashes within threshold bits agree on all but `threshold` of them, so an
+    equi-join on every choice of blocks - threshold blocks finds all pairs (with 6 blocks and 3 bits: 20 keys of about 32 bits).
+    Rows of equal hash are one candidate, and a hash only looks for those that stand earlier.
     """
-    bands = threshold + 1
-    edge = [64 * i // bands for i in range(bands + 1)]
+    edge = [64 * i // blocks for i in range(blocks + 1)]
     firsts = rows.groupBy(F.col(hash).alias("h")).agg(F.min(id).alias("first"))
-    key = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("h"), edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)).alias("bits")) for i in range(bands)]
+    mask = lambda chosen: sum(((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in chosen)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    key = [F.struct(F.lit(n).alias("choice"), F.col("h").bitwiseAND(F.lit(signed(mask(c))).cast("long")).alias("bits")) for n, c in enumerate(combinations(range(blocks), blocks - threshold))]
     banded = firsts.withColumn("key", F.explode(F.array(*key)))
-    a, b = banded.select(F.col("h").alias("ha"), "key"), banded.select(F.col("h").alias("hb"), F.col("first").alias("fb"), "key")
-    close = a.join(b, "key").where((F.col("ha") != F.col("hb")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= threshold)).select("ha", "fb").distinct()
-    near = close.groupBy("ha").agg(F.min("fb").alias("near"))
-    known = firsts.join(near, F.col("h") == F.col("ha"), "left").select("h", F.least("first", F.coalesce("near", "first")).alias("least"))
+    a, b = banded.select(F.col("h").alias("ha"), F.col("first").alias("fa"), "key"), banded.select(F.col("h").alias("hb"), F.col("first").alias("fb"), "key")
+    near = a.join(b, "key").where((F.col("fb") < F.col("fa")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= threshold)).groupBy("ha").agg(F.min("fb").alias("near"))
+    known = firsts.join(near, F.col("h") == F.col("ha"), "left").select("h", "first", F.least("first", F.coalesce("near", "first")).alias("least"))
+    # a class of equal hashes: its later rows point at its first, and all at an earlier near one.  Rows before the class's first near one don't exist.
     out = rows.select(F.col(id), F.col(hash).alias("h")).join(known, "h")
     return out.select(id, F.when(F.col("least") < F.col(id), F.col("least")).alias("first"))
 

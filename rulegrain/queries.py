@@ -10,6 +10,7 @@ from rulegrain.functions.registry import standard_registry
 from rulegrain.operators import geometry, governance, store
 from rulegrain.plans.backward import prove
 from rulegrain.plans.forward import Context, evaluate
+from rulegrain.sources import files
 from rulegrain.streaming import processor
 
 _QUERIES: dict = {}
@@ -97,6 +98,43 @@ def rules_fired_trace(spark, d):
     return out.select("o_orderkey", F.size("fired").alias("n_fired"), F.col("trace.cycles").alias("cycles"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 50.0 ELSE o_totalprice END AS total, CASE WHEN o_totalprice > 100000 THEN 'Down' ELSE '' END AS fired, CASE WHEN o_totalprice > 100000 THEN 2 ELSE 1 END AS cycles FROM orders""")
+def rules_self_off(spark, d):
+    """A rule without no-loop whose write makes its condition false fires once."""
+    facts = _t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").cast("double").alias("total")).alias("Order"))
+    out = evaluate(facts, 'rule "Down" { when Order.total > 100000 then Order.total = 50; }')
+    return out.select("o_orderkey", F.col("Order.total").alias("total"), F.array_join("fired", ",").alias("fired"), F.col("trace.cycles").alias("cycles"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 END::BIGINT AS a, CASE WHEN o_orderstatus = 'F' THEN 'Begin,Step' ELSE '' END AS fired, CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 1 END AS cycles FROM orders""")
+def rules_toggle(spark, d):
+    """Two rules that write what the other reads; Step stands first, so it fires in the second cycle."""
+    facts = _t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("s")).alias("Order"))
+    out = evaluate(facts, 'rule "Step" salience 2 { when X.a == 1 then X.a = 2; } rule "Begin" no-loop { when Order.s == "F" then X.a = 1; }')
+    return out.select("o_orderkey", F.col("X.a").alias("a"), F.array_join("fired", ",").alias("fired"), F.col("trace.cycles").alias("cycles"))
+
+
+@query("SELECT o_orderkey, 0 AS n_fired FROM orders")
+def rules_absent_lists(spark, d):
+    facts = _t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("s")).alias("Order"))
+    pack = 'rule "A" { when exists(Absent.lines, it.q > 1) then D.a = true; } rule "B" { when forall(Order.lines, it.q > 1) then D.b = true; } rule "C" { when accumulate(sum, Absent.q) > 0 then D.c = true; }'
+    return evaluate(facts, pack).select("o_orderkey", F.size("fired").alias("n_fired"))
+
+
+@query("SELECT c_custkey, CASE WHEN CAST(right(c_name, 2) AS INTEGER) > 50 THEN 'late' END AS kind FROM customer")
+def rules_text_as_number(spark, d):
+    facts = _t(spark, d, "customer").select("c_custkey", F.struct(F.substring("c_name", -2, 2).alias("tail")).alias("C"))
+    return evaluate(facts, 'rule "L" no-loop { when C.tail > 50 then Out.kind = "late"; }').select("c_custkey", F.col("Out.kind").alias("kind"))
+
+
+@query("SELECT event_id, CASE WHEN regexp_matches(props, '\"[a-z]') THEN true END AS seen FROM events")
+def json_facts(spark, d):
+    """Facts asserted from JSON objects and exported again."""
+    e = files.json_fact(_t(spark, d, "events"), "props", "k int, v int", "Props")
+    out = files.facts_json(evaluate(e, 'rule "S" no-loop { when Props != null then Seen.yes = true; }'), ["Seen"])
+    return out.select("event_id", (F.col("facts") == '{"Seen":{"yes":true}}').alias("seen"))
+
+
 @query("SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') AND length(p_name) > 10 THEN 'steel' END AS kind FROM part")
 def rules_contains_len(spark, d):
     facts = _t(spark, d, "part").select("p_partkey", F.struct(F.col("p_type").alias("type"), F.col("p_name").alias("name")).alias("Part"))
@@ -228,9 +266,18 @@ def region_member(spark, d):
     return out.select("vec_id", F.coalesce("Out.inside", F.lit(False)).alias("inside"))
 
 
+@query(_V + """SELECT vec_id, round(sqrt(pow(n[1] / 0.1, 2) + pow(n[2] / 0.2, 2) + greatest(1 - n[1] * n[1] - n[2] * n[2], 0) / 0.81), 4) AS depth
+          FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS n FROM e)""")
+def region_fixed(spark, d):
+    """Depth in a region that is given, not fitted: centre 0 and the first two axes as its directions."""
+    at = lambda i: [1.0 if j == i else 0.0 for j in range(64)]
+    region = geometry.Region("given", [0.0] * 64, [at(0), at(1)], [0.1, 0.2], 0.9, 1.0, "test", 64)
+    return _t(spark, d, "embeddings").select("vec_id", F.round(vector.depth(F.col("embedding"), region), 4).alias("depth"))
+
+
 @query()
 def vec_rules_embedded(spark, d):
-    words = vector.KeywordEmbedder([["urgent", "now"], ["the"], ["la", "le"], ["der", "die"], ["que"], ["and"]])
+    words = vector.HashingEmbedder(32)
     facts = _t(spark, d, "documents").select("doc_id", F.struct("text").alias("Doc"))
     out = evaluate(facts, 'rule "E" no-loop { when Doc.text != null then Out.s = s_cosine(Doc.text, "the and the and"); }', Context(embedder=words))
     return out.select("doc_id", F.round("Out.s", 5).alias("similarity"))
@@ -241,7 +288,8 @@ def vec_rules_embedded(spark, d):
 
 @query()
 def canon_mask(spark, d):
-    return _t(spark, d, "documents").select("doc_id", canon.log_mask(F.col("text")).alias("canonical"), F.size(canon.log_vars(F.col("text"))).alias("n_vars"))
+    rows = _t(spark, d, "documents").select("doc_id", canon.log_masked(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.col("m.canonical").alias("canonical"), F.size("m.vars").alias("n_vars"))
 
 
 _FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(hex(encode({x}))) // 2 + 1), lambda i: CAST('0x' || substr(hex(encode({x})), CAST(2 * i - 1 AS INTEGER), 2) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
@@ -268,24 +316,30 @@ def canon_template_groups(spark, d):
     return pages.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_SIMHASH = f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT x AS w, {_FNV.format(x="x")} AS h FROM (SELECT DISTINCT w AS x FROM w)),
+    b AS (SELECT doc_id, i, sum(CAST((h // (1::HUGEINT << i)) % 2 AS INTEGER)) AS ones, count(*) AS n FROM w JOIN f USING (w), range(0, 64) r(i) GROUP BY 1, 2),
+    s AS (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN 1::HUGEINT << i ELSE 0 END)::HUGEINT AS u FROM b GROUP BY 1),
+    h AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE CAST(CASE WHEN coalesce(u, 0) >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE coalesce(u, 0) END AS BIGINT) END AS hash FROM documents LEFT JOIN s USING (doc_id)) """
+
+
+@query(_SIMHASH + "SELECT doc_id, hash FROM h")
 def simhash(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", canon.simhash(F.col("text")).alias("hash"))
+    return _t(spark, d, "documents").select("doc_id", canon.simhash(F.col("text")).alias("hash"))
 
 
 def _router(spark) -> patterns.Router:
     router = patterns.Router()
     router.add(spark, "click", ['{"a": 1, "b": 2}'], "json")
-    router.add(spark, "path", ["https://example.com/page/1", "http://example.org/item/7"], "log")
+    router.add(spark, "path", ["https://pages.example/page/1", "http://shop.example/item/7"], "log")
     router.add(spark, "any", ["x"], "auto", 64)
     return router
 
 
 @query()
 def canon_route(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", F.col("url"))
-    found = pages.withColumn("m", _router(spark).classify(F.col("url")))
-    return found.select("page_id", F.col("m.label").alias("label"), F.col("m.score").alias("score"))
+    found = _t(spark, d, "documents").withColumn("m", _router(spark).classify(F.col("text")))
+    return found.select("doc_id", F.col("m.label").alias("label"), F.col("m.score").alias("score"))
 
 
 @query()
@@ -296,9 +350,9 @@ def canon_match_rules(spark, d):
     return out.select("page_id", F.col("Page.path").alias("path"), F.col("Page.label").alias("label"))
 
 
-@query()
+@query(_SIMHASH + "SELECT x.doc_id AS id, min(y.doc_id) AS first FROM h x LEFT JOIN h y ON y.doc_id < x.doc_id AND bit_count(xor(x.hash, y.hash)) <= 3 WHERE x.hash IS NOT NULL GROUP BY 1")
 def near_dup_first(spark, d):
-    rows = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), canon.simhash(F.col("text")).alias("h"))
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), canon.simhash(F.col("text")).alias("h")).where("h is not null")
     return store.near_duplicates(rows, "id", "h")
 
 
@@ -404,12 +458,49 @@ def tool_stats(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_counts(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return store.stream_counts(_t(spark, d, "events"), "event_type")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def sessions(spark, d):
-    return _t(spark, d, "events").select("user_id").distinct()
+    return store.sessions(_t(spark, d, "events"), "user_id")
+
+
+@query("SELECT event_id, user_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS sequence FROM events")
+def event_sequence(spark, d):
+    """Gapless numbers in the order of time, without a task that holds all events."""
+    return files.numbered(_t(spark, d, "events").select("event_id", "user_id", "ts"), ["ts", "event_id"], "sequence").select("event_id", "user_id", "sequence")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY 1")
+def timings(spark, d):
+    return store.timings(_t(spark, d, "events"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_id, lpad(CAST(9223372036854775807 - event_id AS VARCHAR), 20, '0') || '-' || event_type AS time_key, left(sha256(length(event_type) || ':' || event_type || length(CAST(user_id AS VARCHAR)) || ':' || user_id), 32) AS content_key FROM events")
+def row_keys(spark, d):
+    return _t(spark, d, "events").select("event_id", store.inverse_time_key(F.col("event_id"), F.col("event_type")).alias("time_key"), store.content_key(F.col("event_type"), F.col("user_id")).alias("content_key"))
+
+
+@query(_V + ", z AS (SELECT a.v AS c, b.v AS d FROM e a, e b WHERE a.vec_id = 7 AND b.vec_id = 9), s AS (SELECT e.vec_id, least(CASE WHEN e.vec_id % 2 = 0 THEN list_sum(list_transform(list_zip(e.v, z.c), lambda y: (y[1] - y[2]) * (y[1] - y[2]))) ELSE 1e300 END, list_sum(list_transform(list_zip(e.v, z.d), lambda y: (y[1] - y[2]) * (y[1] - y[2])))) AS s FROM e, z) SELECT vec_id, round(s, 5) AS distance FROM s ORDER BY s, vec_id LIMIT 10")
+def ann_dual(spark, d):
+    """Coarse and detail vectors of one field; only every second row has a coarse one."""
+    e = _t(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("body__canon"), F.col("embedding").alias("body"))
+    q = {i: list(e.where(F.col("vec_id") == i).first()["body"]) for i in (7, 9)}
+    return store.dual_search(e, "vec_id", "body", q[7], q[9], 10, "l2").select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+@query("WITH RECURSIVE r AS (SELECT s_suppkey AS revision, CASE WHEN s_suppkey > 2 THEN s_suppkey - 2 END AS parent FROM supplier), up AS (SELECT 41 AS revision UNION ALL SELECT r.parent FROM up JOIN r ON r.revision = up.revision WHERE r.parent IS NOT NULL) SELECT CAST(revision AS VARCHAR) AS revision FROM up")
+def revision_ancestors(spark, d):
+    r = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("revision"), F.when(F.col("s_suppkey") > 2, (F.col("s_suppkey") - 2).cast("string")).alias("parent"))
+    return governance.ancestors(r, "41")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'Large' ELSE '' END AS fired, CASE WHEN o_totalprice * 2 > 150000 THEN 'Large' ELSE '' END AS fired_if FROM orders")
+def what_if(spark, d):
+    facts = _t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("total")).alias("Order"))
+    out = governance.what_if(facts, 'rule "Large" no-loop { when Order.total > 150000 then D.x = true; }', {"Order.total": F.col("Order.total") * 2}, "o_orderkey")
+    return out.select("o_orderkey", F.array_join("fired", ",").alias("fired"), F.array_join("fired_if", ",").alias("fired_if"))
 
 
 _CACHE = "SELECT user_id AS k, event_id AS created, CAST(event_id % 3 AS INTEGER) AS gen FROM events"
@@ -456,7 +547,7 @@ def patch_apply(spark, d):
 
 @query("SELECT p_brand, CASE WHEN min(p_partkey) % 3 = 0 THEN 0 WHEN min(p_partkey) % 3 = 1 THEN 1 ELSE 2 END AS tier FROM part GROUP BY 1")
 def embed_cache_join(spark, d):
-    words = vector.KeywordEmbedder([["brand"]])
+    words = vector.HashingEmbedder(16)
     p = _t(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k")).withColumnRenamed("p_brand", "text")
     tier = lambda i: p.where(F.col("k") % 3 == i).select("text", F.array(F.lit(float(i))).cast("array<float>").alias("vector"))
     return store.resolve_embeddings(p.select("text"), [tier(0), tier(1)], words.column).select(F.col("text").alias("p_brand"), "tier")
@@ -512,7 +603,7 @@ def window_session(spark, d):
     return processor.windowed(_t(spark, d, "events"), "ts", "session", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")]).select("user_id", "window_start", "n")
 
 
-ALERTS = 'rule "Hot" no-loop { when SystemMetric.cpu_pct > 80 then Alert.level = "high"; }'
+ALERTS = 'rule "Hot" no-loop { when Reading.value > 80 then Alert.level = "high"; }'
 
 
 @query("SELECT event_id, CASE WHEN value > 80 THEN 'high' END AS level FROM events")
@@ -522,7 +613,7 @@ def stream_rules(spark, d):
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    facts = processor.with_defaults(events).withColumn("SystemMetric", F.struct(F.col("value").alias("cpu_pct")))
+    facts = processor.with_defaults(events).withColumn("Reading", F.struct("value"))
     out = processor.process(facts, ALERTS).select("event_id", F.col("Alert.level").alias("level"))
     to = scratch_path(spark, "stream-rules")
     run = out.writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start()
@@ -533,42 +624,71 @@ def stream_rules(spark, d):
 # -- addresses
 
 
-@query()
+@query("""WITH c AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k, lpad(CAST(c_nationkey AS VARCHAR), 5, '6') AS z FROM customer)
+          SELECT c_custkey, CASE WHEN length(k) <> 5 THEN k || ' ' ELSE '' END || 'birch ln springfield il ' || z AS canonical, CASE WHEN length(k) <> 5 THEN 1.0::DOUBLE ELSE 0.78::DOUBLE END AS score, true AS valid FROM c""")
 def address_standardize(spark, d):
-    c = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("ship to "), F.col("c_custkey").cast("string"), F.lit(" East Cola Lane Springfield IL "), F.lpad(F.col("c_nationkey").cast("string"), 5, "6")).alias("text"))
+    """A number of five digits is a postal code; where the customer has such a one, the address begins at the road."""
+    c = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("ship to "), F.col("c_custkey").cast("string"), F.lit(" Birch Lane Springfield IL "), F.lpad(F.col("c_nationkey").cast("string"), 5, "6")).alias("text"))
     s = address.standardize(F.col("text"))
     return c.withColumn("s", s).select("c_custkey", F.col("s.canonical").alias("canonical"), F.col("s.score").alias("score"), F.col("s.valid").alias("valid"))
 
 
-@query()
+def _address_index(spark, d) -> DataFrame:
+    text = F.concat(F.col("s_suppkey").cast("string"), F.lit(" Birch "), F.col("s_name"), F.lit(" Road Springfield IL 62701"))
+    return address.index_records(_t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), text.alias("text")), "id", "text").withColumn("id", F.col("id").cast("long"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, [CAST(s_suppkey AS VARCHAR), 'birch', lower(s_name), 'rd', 'springfield', 'il', '62701'] AS t FROM supplier),
+          p AS (SELECT a.id AS query_id, b.id, round(0.55 * (len(list_intersect(a.t, b.t)) / (14.0 - len(list_intersect(a.t, b.t)))) + 0.45 * ((CASE WHEN a.id = b.id THEN 5 ELSE 3 END) / 5.0), 6) AS score FROM s a, s b),
+          r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p WHERE score >= 0.5)
+          SELECT query_id, id, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 3""")
 def address_match(spark, d):
-    text = F.concat(F.col("s_suppkey").cast("string"), F.lit(" Royal "), F.col("s_name"), F.lit(" Road Springfield IL 62701"))
-    index = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")).withColumn("parts", address.components(F.col("text")))
+    index = _address_index(spark, d)
     return address.match_index(index, index, 3)
 
 
+VERIFY = """
+rule "Known" salience 9 no-loop { when b_addr_index_match(AddressDecision.source_text) == true && AddressDecision.address_valid == true then AddressDecision.policy_status = "approved"; AddressDecision.policy_reason = m_addr_index_match_id(AddressDecision.source_text); }
+rule "Customer" salience 5 no-loop { when c_ref_match_score(AddressDecision.source_text, "customer") > 600 then AddressDecision.customer = m_ref_match_name(AddressDecision.source_text, "customer"); }
+"""
+
+
+@query("""SELECT s_suppkey AS id, 'approved' AS status, CAST(s_suppkey AS VARCHAR) AS reason, s_name AS customer, 'ship_to' AS role, 'matched' AS reference_status, 1 AS n_found FROM supplier""")
+def verify_address(spark, d):
+    """Every supplier's address, told in a sentence, against an index of all and a reference of their names."""
+    s = _t(spark, d, "supplier")
+    text = F.concat(F.lit("Please ship to "), F.col("s_suppkey").cast("string"), F.lit(" Birch "), F.col("s_name"), F.lit(" Road Springfield IL 62701"))
+    rows = s.select(F.col("s_suppkey").alias("id"), text.alias("text"))
+    index = _address_index(spark, d).withColumn("id", F.col("id").cast("string"))
+    reference = address.read_reference(s.select(F.col("s_name").alias("customer_name"), F.lit("customer").alias("type"), F.col("s_suppkey").alias("ord")))
+    out = address.verify(rows, "text", VERIFY, index, reference)
+    return out.select("id", F.col("AddressDecision.policy_status").alias("status"), F.col("AddressDecision.policy_reason").alias("reason"), F.col("AddressDecision.customer").alias("customer"), F.col("AddressDecision.role").alias("role"), F.col("AddressDecision.reference_status").alias("reference_status"), F.size(F.filter("reference_matches", lambda m: m["exact"] == 1.0)).alias("n_found"))
+
+
 def _records(spark, d) -> DataFrame:
     record = F.to_json(F.struct(F.col("c_name").alias("customer"), F.concat(F.col("c_custkey").cast("string"), F.lit(" oak street")).alias("ship_addr"), F.lit("austin").alias("town"), F.lit("tx").alias("state"), F.lit("78701").alias("zip")))
     return _t(spark, d, "customer").select("c_custkey", record.alias("record"))
 
 
-@query("SELECT c_custkey, c_name AS customer, CAST(c_custkey AS VARCHAR) AS house_number, 'oak street' AS road, 'Austin' AS city, 'TX' AS region, '78701' AS postal_code, true AS valid FROM customer")
+@query("SELECT c_custkey, c_name AS customer, CAST(c_custkey AS VARCHAR) AS house_number, 'Oak Street' AS road, 'Austin' AS city, 'TX' AS region, '78701' AS postal_code, true AS valid FROM customer")
 def address_structured(spark, d):
     rows = _records(spark, d).select("c_custkey", fields.standardize(F.col("record")).alias("s"))
     return rows.select("c_custkey", *(F.col(f"s.parts.{k}").alias(k) for k in ("customer", "house_number", "road", "city", "region", "postal_code")), F.col("s.valid").alias("valid"))
 
 
-@query()
+@query("""SELECT c_custkey, '$.' || f AS field, 'address field meaning: ' || replace(f, '_', '') AS embedding_text, 'structured-address:1' AS cache_namespace
+          FROM customer, (VALUES ('customer'), ('ship_addr'), ('town'), ('state'), ('zip')) v(f)""")
 def address_field_hints(spark, d):
     rows = _records(spark, d).select("c_custkey", F.explode(fields.hints(F.col("record"))).alias("h"))
     return rows.select("c_custkey", "h.*")
 
 
-@query()
+@query("""SELECT p_partkey AS id, b AS ref_id, 'brand' AS kind, b AS name, b AS alias, CASE WHEN b = p_brand THEN 1.0 ELSE 0.92 END::DOUBLE AS exact, CASE WHEN b = p_brand THEN 1.0 ELSE 0.666667 END::DOUBLE AS lexical, CASE WHEN b = p_brand THEN 1.0 ELSE 0.831333 END::DOUBLE AS score
+          FROM part, (SELECT DISTINCT p_brand AS b FROM part) WHERE starts_with(p_brand, b)""")
 def reference_match(spark, d):
     texts = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("text"))
-    ref = _t(spark, d, "part").select(F.col("p_brand").alias("ref_id"), F.col("p_brand").alias("name")).distinct().withColumn("aliases", F.array("name"))
-    return address.reference_match(texts, ref)
+    ref = _t(spark, d, "part").select(F.col("p_brand").alias("id"), F.lit("brand").alias("kind"), F.col("p_brand").alias("name")).distinct()
+    return address.reference_match(texts, address.read_reference(ref))
 
 
 @query("""SELECT c_nationkey, max(c_custkey) AS id, s AS score FROM (SELECT *, max(s) OVER (PARTITION BY c_nationkey) AS top FROM (SELECT c_nationkey, c_custkey, CAST(w + floor(((c_custkey % 100) / 100.0) * w) - (c_custkey % 3) * 10 AS BIGINT) AS s FROM (SELECT *, CASE WHEN c_mktsegment = 'BUILDING' THEN 100 ELSE 0 END AS w FROM customer)))

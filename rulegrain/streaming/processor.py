@@ -22,8 +22,18 @@ def pattern(events: DataFrame, stream: str | None = None, event_type: str | None
     return out if event_type is None else out.where(F.col("event_type") == event_type)
 
 
+def one_model(ctx: Context) -> str | None:
+    """The model that all artifacts and the embedder of a context were made with; a mixture is an error."""
+    models = {a.model for a in ctx.artifacts.values()} | ({ctx.embedder.model} if ctx.embedder is not None else set())
+    if len(models) > 1:
+        raise ValueError(f"a processor has one model, not {', '.join(sorted(models))}")
+    return next(iter(models), None)
+
+
 def process(events: DataFrame, pack: str, ctx: Context | None = None, cycles: int = 100) -> DataFrame:
     """One row in, one row out: evaluate() has no state, so it runs on streams as it is."""
+    if ctx is not None:
+        one_model(ctx)
     return evaluate(events, pack, ctx, cycles)
 
 
