@@ -153,19 +153,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int = FIT_ROWS, most_bytes: int | None = None):
-    """(doc_id, text, y) of at most rows labelled documents outside the held-out share, the same ones in every run.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, y) of documents outside the held-out share, by at most rows labels, the same ones in every run.
 
-    With most_bytes, documents of more bytes aren't taken.  A label of a doc_id that
-    several rows of docs share counts for each of them; the limit holds for the result.
+    A label of a doc_id that several rows of docs share counts for each of them, so there may be more than rows.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(key % held[0] != held[1]).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    if most_bytes is not None:
-        texts = texts.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
-    return texts.join(known, "doc_id").select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text"), "text").limit(rows)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("doc_id", "text", "y")
+
+
+def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int, most_bytes: int) -> DataFrame:
+    """labelled() documents of at most most_bytes bytes, and at most rows of them."""
+    short = docs.where(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) <= most_bytes)
+    return labelled(short, labels, label, held, rows).orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text"), "text").limit(rows)
 
 
 def held_out(held: tuple[int, int]):
@@ -186,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = HELD, rows
         for pdf in batches:
             yield pd.DataFrame({"id": [zlib.crc32(str(i).encode()) for i in pdf["doc_id"]], "f": list(_rows_of(pdf["text"])), "y": pdf["y"]})
 
-    table = fitting_sample(docs, labels, "quality", held, rows).mapInPandas(made, schema).orderBy("id", "y", "f").toPandas()  # FIT_ROWS rows at most
+    table = labelled(docs, labels, "quality", held, rows).mapInPandas(made, schema).orderBy("id", "y", "f").limit(rows).toPandas()  # FIT_ROWS rows of numbers at most
     if not len(table):
         return Model()
     return fit(np.stack(table["f"].to_numpy()), table["y"].to_numpy(dtype=np.float64))
