@@ -14,7 +14,7 @@ All lines of the region are kept but those
   menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
   comments of readers, and
 * in elements whose name only hints at it (`HINTS`, one part of a longer name)
-  if none of their lines is content.
+  if none of their lines is prose, by the same smoothed ratios.
 
 A page without content lines (all ratios 0) has no text.  Work is linear in the page, however deep
 its elements: each element is summed up once.
@@ -170,13 +170,19 @@ def threshold(values: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def content(ratios: np.ndarray) -> np.ndarray:
-    """Which lines are content: ratios above 0 whose smoothed ratio is in the higher cluster of those."""
+def content(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are content, and which are prose at least.
+
+    Content: ratios above 0 whose smoothed ratio is in the higher cluster of those.  Prose: the same with the logarithms of
+    the smoothed ratios and 0, as a line of links has it; short paragraphs are prose beside long ones.
+    """
     smoothed = smooth(ratios)
     some = (ratios > 0) & (smoothed > 0)
-    if some.any():
-        some &= smoothed >= min(threshold(smoothed[some]), float(smoothed[some].max()))
-    return some
+    if not some.any():
+        return some, some
+    logs = np.log1p(smoothed)
+    prose = some & (logs >= threshold(np.append(logs, 0.0)))
+    return some & (smoothed >= min(threshold(smoothed[some]), float(smoothed[some].max()))), prose
 
 
 def _region(page: Page, weight: np.ndarray) -> int:
@@ -210,19 +216,21 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     at = [element for *_, element in page.lines]
-    on = content(np.array([0.0 if page.gone[e] else (len(text) - linked) / tags for text, linked, tags, e in page.lines]))
+    on, prose = content(np.array([0.0 if page.gone[e] else (len(text) - linked) / tags for text, linked, tags, e in page.lines]))
     if not on.any():
         return ""
-    weight = np.zeros(len(page.tag))
-    for (text, *_, e), yes in zip(page.lines, on.tolist(), strict=True):
+    weight, said = np.zeros(len(page.tag)), np.zeros(len(page.tag))
+    for (text, *_, e), yes, some in zip(page.lines, on.tolist(), prose.tolist(), strict=True):
         weight[e] += len(text) if yes else 0
+        said[e] += some
     for e in range(len(weight) - 1, 0, -1):  # a parent stands before its children
         weight[page.parent[e]] += weight[e]
+        said[page.parent[e]] += said[e]
     region = _region(page, weight)
     kept = [False] * len(weight)
     for e in range(len(weight)):
         inside = e == region or (e > 0 and kept[page.parent[e]])
-        kept[e] = inside and page.gone[e] < GONE and not (page.mark[e] == HINTED and not weight[e])
+        kept[e] = inside and page.gone[e] < GONE and not (page.mark[e] == HINTED and not said[e])
     return " ".join(text for (text, *_), e in zip(page.lines, at, strict=True) if kept[e])
 
 
