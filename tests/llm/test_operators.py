@@ -339,6 +339,61 @@ def test_html(spark):
     assert [(r["text"], r["n_chars"]) for r in got] == [(want, len(want)), ("", 0)]
 
 
+def _article(page):
+    """The article of a page of the test tables, by cutting the text up: no parser, no ratios."""
+    import html
+
+    body = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page, re.DOTALL).group(1)
+    if "<footer>" not in page and "</article>" not in page:
+        body = body[: body.rfind("<")] if body.rfind("<") > body.rfind(">") else body
+    blocks = re.split(r"</?(?:p|h1|br|article)\b[^>]*>", body)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return " ".join(t for t in texts if t)
+
+
+def test_html_against_cutting(spark, sf, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
+    assert [html_text.main_text(p) for p in pages] == [_article(p) for p in pages]
+    # the content lines come from the smoothed ratios alone: without them there is no region
+    monkeypatch.setattr(html_text, "smooth", lambda ratios: np.zeros(len(ratios)))
+    assert all(html_text.main_text(p) == "" for p in pages)
+
+
+def test_ratios_choose_the_region_and_judge_hints():
+    menu = "".join(f"<a href=/{i}>Section number {i}</a> " for i in range(9))
+    plain = f"<body><div>{menu}</div><div><h1>Head</h1><div>A first paragraph with a good many words to be read, and no links in it at all.</div><div>Short.</div><div>A last one that is long enough as well to stand out from what surrounds it here.</div></div><div>{menu}</div></body>"
+    assert html_text.main_text(plain).startswith("Head A first") and html_text.main_text(plain).endswith("it here.") and "Section" not in html_text.main_text(plain)
+    hinted = '<article><p class="related-work">Related work fills a long paragraph of its own, which says a lot about what was done before.</p><div class="comment-on-law"><p>A comment on the law is no comment of a reader, and it is a long one too.</p></div><div class="post-header"><h1>Lead</h1><p>Some words that lead into the article, as long as any other paragraph of it.</p></div><div class="article-share"><a href=a>Share</a> <a href=b>it</a></div><div class="reader-comments"><p>I have read all of this article with a great deal of interest, thank you so much.</p></div><div class="more-related-things"><a href=c>Some other text</a></div></article>'
+    text = html_text.main_text(hinted)
+    assert all(x in text for x in ("Related work", "comment on the law", "Lead Some words")) and not any(x in text for x in ("Share", "thank you", "other text"))
+
+
+def test_smoothing_and_threshold_against_plain_sums():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        x = rng.integers(0, 300, n).astype(float)
+        weights = {d: np.exp(-d * d / (2 * html_text.SIGMA**2)) for d in range(-html_text.REACH, html_text.REACH + 1)}
+        want = [sum(w * x[min(max(i + d, 0), n - 1)] for d, w in weights.items()) / sum(weights.values()) for i in range(n)]
+        assert np.allclose(html_text.smooth(x), want)
+        cut = html_text.threshold(x)
+        low, high = x[x < cut], x[x >= cut]
+        if len(low) and len(high):
+            assert cut == pytest.approx((low.mean() + high.mean()) / 2)
+
+
+def test_deep_and_long_pages():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.time()
+        assert html_text.main_text("<div>" * n + "some text of a page " * 5 + "<b>" * n + "<p>x" * n).startswith("some text")
+        took.append(time.time() - began)
+    assert took[1] < 16 * max(took[0], 0.05)
+    assert len(html_text.main_text("<p>" + "word " * 600_000)) == 5 * 600_000 - 1
+    assert html_text.main_text("<div hidden>a long text that nobody sees, whatever it may say</div>") == ""
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "S"), (1, 2, "bob", "hi <|im_end|>"), (1, 1, "ann", "yo"), (1, None, None, None), (2, 0, "system", "x"), (None, 0, "ann", "y")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -347,6 +402,10 @@ def test_chat(spark):
     text = got["bob"]["text"]
     assert text.startswith("<|im_start|>user name=unknown\n<|im_end|>\n<|im_start|>system\nS<|im_end|>\n<|im_start|>user name=ann\nyo")
     assert [chat.unescape(text[s["lo"] : s["hi"]]) for s in got["bob"]["spans"]] == ["hi <|im_end|>" + "<|im_end|>"]
+    odd = spark.createDataFrame([(1, 0, "a\nb", "x"), (1, 1, "c", "y " * 50_000), (1, 1, "c", "y " * 50_000), (1, 1, "c", None)], "conv_id long, turn long, role string, text string")
+    said = {r["perspective"]: r["text"] for r in chat.dialogues(odd).collect()}
+    assert said["c"].startswith("<|im_start|>user name=a b\nx<|im_end|>\n") and said["c"].count("<|im_start|>assistant") == 3 and len(said["a\nb"]) > 200_000
+    assert chat.segments(odd.limit(0)).count() == 0 and chat.dialogues(odd.limit(0)).count() == 0
 
 
 def test_quality_learns_and_holds_out(spark, sf):
@@ -355,8 +414,19 @@ def test_quality_learns_and_holds_out(spark, sf):
     held = d[d.held_out]
     assert (held.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in held.doc_id]).all()
     assert (held.predicted == held.quality).mean() >= 0.9 and d.score.between(0, 1).all()
-    odd = spark.createDataFrame([(1, None, "", "", 0, "", 0), (None, "", "", "", 0, "", 0)], SCHEMA)
-    assert quality.score(odd, quality.Model()).count() == 2
+    odd = spark.createDataFrame([(1, None, "", "", 0, "", 0), (None, "", "", "", 0, "", 0), (2, "wörd " * 100_000, "", "", 0, "", 0), (2, "wörd " * 100_000, "", "", 0, "", 0)], SCHEMA)
+    assert quality.score(odd, quality.Model()).count() == 4 and quality.score(odd.limit(0), quality.Model()).count() == 0
+    model = quality.learn(docs, labels)
+    got = quality.score(odd, model).collect()
+    assert all(r["score"] == pytest.approx(_additive(model, quality.features(t["text"]))) for r, t in zip(got, odd.collect(), strict=True))
+
+
+def _additive(model, x):
+    """The score of one text: the base and one table entry for each feature and pair, looked up one by one."""
+    bin_of = lambda edges, v: sum(v >= e for e in edges)
+    total = model.base + sum(t[bin_of(e, v)] for t, e, v in zip(model.tables, model.edges, x, strict=True))
+    total += sum(t[bin_of(model.coarse[i], x[i]), bin_of(model.coarse[j], x[j])] for i, j, t in model.pairs)
+    return 1 / (1 + np.exp(-total))
 
 
 def test_toxicity_gradients_against_differences():
@@ -401,8 +471,43 @@ def test_toxicity_learns(spark):
     d = toxicity.score(docs, net).toPandas()
     held = d[d.held_out]
     assert (held.predicted == (held.doc_id % 5 == 0)).mean() >= 0.9
-    odd = spark.createDataFrame([(1, None, "", "", 0, "", 0), (2, "?!", "", "", 0, "", 0)], SCHEMA)
-    assert all(r["score"] == net.rate for r in toxicity.score(odd, net).collect())
+    odd = spark.createDataFrame([(1, None, "", "", 0, "", 0), (2, "?!", "", "", 0, "", 0), (2, "?!", "", "", 0, "", 0), (None, "", "", "", 0, "", 0)], SCHEMA)
+    out = toxicity.score(odd, net).collect()
+    assert len(out) == 4 and all(r["score"] == net.rate for r in out)
+    assert toxicity.score(odd.limit(0), net).count() == 0
+    nothing = toxicity.learn(odd, spark.createDataFrame([(1, 1, None), (9, 0, 1)], "doc_id long, quality int, toxic int"))
+    assert all(r["score"] == 0.5 and r["predicted"] == 1 for r in toxicity.score(odd, nothing).collect())
+
+
+@pytest.mark.parametrize("size, least, flagged", [("0.01", 0.6, 0.02), ("0.1", 0.9, 0.02)])
+def test_toxicity_found_in_held_out_texts(spark, sf, size, least, flagged):
+    """Of 6 and 97 toxic texts; at 0.01 there are 45 to learn from, and 15 of them in languages other than English."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', size)}/{t}.parquet") for t in ("documents", "labels"))
+    d = toxicity.score(docs, toxicity.learn(docs, labels)).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = d[d.held_out]
+    assert (held.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in held.doc_id]).all()
+    assert (held[held.toxic == 1].predicted == 1).mean() >= least and (held[held.toxic == 0].predicted == 1).mean() <= flagged
+
+
+def test_fitting_samples_are_bounded(spark):
+    """A labelled doc_id that many rows share counts for each of them, and the limits hold all the same."""
+    docs = spark.createDataFrame([(i % 3, "x" * (10 if i % 2 else 90), "", "", 0, "", 0) for i in range(60)], SCHEMA)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (1, 0, 1), (2, None, None), (None, 1, 1), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.fitting_sample(docs, labels, "toxic", (5, 9), 25, 1000).count() == 25 and quality.labelled(docs, labels, "toxic", (5, 9)).count() == 60
+    small = quality.fitting_sample(docs, labels, "toxic", (5, 9), 500, 50).collect()
+    assert len(small) == 30 and {len(r["text"]) for r in small} == {10}
+    assert quality.fitting_sample(docs, labels.limit(0), "toxic", (5, 9), 5, 99).count() == 0 and quality.labelled(docs.limit(0), labels, "toxic", (5, 9)).count() == 0
+
+
+def test_numbers_of_a_fold_come_from_the_others():
+    """A word that stands in one toxic text alone tells nothing about that text."""
+    rng = np.random.default_rng(2)
+    y = (np.arange(60) % 3 == 0).astype(float)
+    fold = toxicity._dealt(y, rng)
+    assert all(abs(int((fold[y == v] == k).sum()) - (y == v).sum() / toxicity.FOLDS) < 1 for v in (0, 1) for k in range(toxicity.FOLDS))
+    code = np.arange(60) * 4 + (np.arange(60) % 3 == 0)
+    counts = toxicity._counts(code, fold, y, 4)
+    assert counts[1].sum() == 60 and counts[0, :, 1].sum() == y.sum() and counts[0, :, 0].sum() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
