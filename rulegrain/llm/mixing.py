@@ -163,8 +163,11 @@ def mixed(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
     cells = materialise(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mixed-cells")
     aims = materialise(targets(cells.groupBy("none", "src").agg(F.sum("words").alias("z")), share), "mixed-targets")
     aims = aims.where("z > 0").select("none", "src", (F.col("target") / F.col("z")).alias("p"), (F.pmod(F.xxhash64(F.lit(seed), "none", "src"), F.lit(1 << 20)) / (1 << 20)).alias("u"))
-    before = Window.partitionBy("none", "src").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows", "words").join(aims, ["none", "src"])
+    # rows before a cell: those of smaller classes (some hundred a source), and those of smaller salts in its class
+    smaller = Window.partitionBy("none", "src").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("none", "src", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    classes = cells.groupBy("none", "src", "class").agg(F.sum("rows").alias("rows")).withColumn("ahead", F.coalesce(F.sum("rows").over(smaller), F.lit(0))).drop("rows").join(aims, ["none", "src"])
+    cells = cells.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows", "words").join(classes, ["none", "src", "class"]).withColumn("base", F.col("base") + F.col("ahead")).drop("ahead")
     ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy(*cell).orderBy("o"))).join(cells, cell).withColumn("k", F.col("base") + F.col("at"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("k") * F.col("p") + F.col("u")) - F.floor((F.col("k") - 1) * F.col("p") + F.col("u"))).otherwise(0)
     return ranked.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy")).select("row.*")
