@@ -88,6 +88,23 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, h
     return rows.join(heavy, keys).unionByName(rest.join(light, keys, how))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """rows joined with table, a scratch table of one row a key that says in `count` how many rows have it; for wide tables.
+
+    The rows of a key that more than 1 / HEAVY of the counted rows have are dealt, by a hash of `spread`, into parts of
+    about that size, and its table row is copied for each; there are fewer than 2 * HEAVY such copies in all.  Only
+    frequent keys and their numbers of parts, fewer than HEAVY rows of two numbers, are broadcast.
+    """
+    n = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if not n:
+        return rows.join(table.drop(count), key)
+    parts = F.ceil(F.col(count) * HEAVY / F.lit(n)).cast("int")
+    heavy = F.broadcast(table.where(F.col(count) * HEAVY > n).select(key, parts.alias("__parts")).distinct())
+    dealt = rows.join(heavy, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copies = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) * HEAVY > n, parts - 1).otherwise(F.lit(0))))).drop(count)
+    return dealt.join(copies, [key, "__part"]).drop("__part")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

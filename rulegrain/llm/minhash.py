@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import SPACED, chunks, discard, gram, materialise, mix64, split_join, utf8, words
+from rulegrain.llm.common import SPACED, chunks, discard, gram, materialise, mix64, salted_join, split_join, utf8, words
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 6
@@ -168,10 +168,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have a Jaccard similarity of percent / 100 or more."""
+    """The distinct pairs (a, b), a table, whose full shingle sets have a Jaccard similarity of percent / 100 or more."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     sets = materialise(_sets_of(docs, ids), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    per_a = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "pairs-of")
+    of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(per_a, "a")
+    both = salted_join(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"), of_a, "a", "pairs", "b")
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     return common.where(F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
@@ -285,7 +287,10 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = materialise(rows.join(buckets, "key"), "members")
     sigs = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sig"), "node-sigs")
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+    # a hub may have very many rows under it
+    stars = materialise(stars, "hubs")
+    hubs = materialise(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")).join(stars.groupBy("a").agg(F.count(F.lit(1)).alias("rows")), "a"), "hub-sigs")
+    stars = salted_join(stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b"), hubs, "a", "rows", "b")
     stars = stars.where(estimated(_disagreeing("x", "y")) >= ESTIMATE).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialise(confirmed(docs, materialise(stars, "stars"), percent), "linked")
     rows = _open_rows(members, materialise(connected(linked), "components"))
