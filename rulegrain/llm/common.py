@@ -156,6 +156,11 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES):
         lo = min(hi, n)
 
 
+def give_back() -> None:
+    """Return memory that Arrow holds but doesn't use to the system: workers live on after a stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def words(raw: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, first word of each row and the end) after lower-casing A-Z; no word spans rows."""
     return spelt(raw, off, keep)[:2]

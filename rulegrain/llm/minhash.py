@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import SPACED, chunks, discard, gram, materialise, mix64, salted_join, split_join, utf8, words
+from rulegrain.llm.common import SPACED, chunks, discard, give_back, gram, materialise, mix64, salted_join, split_join, utf8, words
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 6
@@ -121,6 +121,8 @@ def _signatures(batches):
                 [ids.slice(lo, hi - lo), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _list_column(band_keys(low)), _list_column(pack(low))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "sig"],
             )
+        raw = off = sets = low = None
+        give_back()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -234,6 +236,7 @@ def _links_of_tile(left, right, percent: int):
 
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if left.num_rows and right.num_rows:
+        give_back()
         (na, ca, sa, la, ga), (nb, cb, sb, lb, gb) = arrays(left), arrays(right)
         main = right.column(5).to_numpy()
         codes = np.unique(np.concatenate([ga, gb]), return_inverse=True)[1]
