@@ -311,10 +311,10 @@ def replay(ops: DataFrame, id: str = "id") -> DataFrame:
 # -- statistics
 
 
-def tool_stats(activity: DataFrame, newest: int = 100_000, tie: list[str] | None = None) -> DataFrame:
-    """Calls, errors and the last call of each tool among the newest events; events without a tool count as such, but aren't shown."""
-    rows = activity.orderBy(F.col("ts").desc(), *(tie or [])).limit(newest).where("tool is not null")
-    return rows.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("errors"), F.max("ts").alias("last_called"))
+def tool_stats(activity: DataFrame, newest: int | None = 100_000, tie: list[str] | None = None) -> DataFrame:
+    """Calls, errors and the last call of each tool among the newest events (None: all); events without a tool count as such, but aren't shown."""
+    rows = activity if newest is None else activity.orderBy(F.col("ts").desc(), *(tie or [])).limit(newest)
+    return rows.where("tool is not null").groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("errors"), F.max("ts").alias("last_called"))
 
 
 def stream_counts(events: DataFrame, stream: str = "stream") -> DataFrame:

@@ -14,6 +14,13 @@ def test_query_without_sql_runs(spark, sf, name):
     assert queries()[name](spark, sf).count() > 0
 
 
+def test_tool_stats_of_more_than_100_000_events(spark, tmp_path):
+    events = spark.range(100_003).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts", "if(id < 2, 'first', 'later') as event_type", "double(id % 50) as value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["tool"]: (r["calls"], r["errors"]) for r in queries()["tool_stats"](spark, str(tmp_path)).collect()}
+    assert got == {"first": (2, 2), "later": (100_001, sum(i % 50 < 20 for i in range(2, 100_003)))}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
