@@ -35,7 +35,7 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(forms, w), w))
 
 
-def _bound(x: Column, make) -> Column:
+def bound(x: Column, make) -> Column:
     """make(x), with x worked out once."""
     return F.transform(F.array(x), make)[0]
 
@@ -83,7 +83,7 @@ def span(text: Column) -> Column:
         suffix = F.array_min(_places(words, _suffix))
         breaks = lambda w: (F.length(bare(w)) == 0) | F.translate(bare(w), UPPER, LOWER).isin(*STOP_WORDS.split("|")) | ~bare(w).rlike(r"^\p{Lu}")
         back = lambda s: F.coalesce(F.array_max(F.filter(_places(words, breaks), lambda i: i < s)) + 1, F.lit(0))
-        walked = _bound(suffix, lambda s: _bound(back(s), lambda at: F.when(at < s, at)))
+        walked = bound(suffix, lambda s: bound(back(s), lambda at: F.when(at < s, at)))
         return F.coalesce(F.array_min(_places(words, _number)), walked)
 
     def cut(words: Column) -> Column:
@@ -93,20 +93,22 @@ def span(text: Column) -> Column:
             end = F.when(state < F.coalesce(code, F.lit(1 << 30)), by_state).otherwise(F.coalesce(code + 1, F.size(words)))
             return F.when(at.isNotNull(), F.array_join(F.slice(words, at + 1, F.greatest(end - at, F.lit(0))), " "))
 
-        return _bound(begin(words), until)
+        return bound(begin(words), until)
 
-    return _bound(_words(text), cut)
+    return bound(_words(text), cut)
 
 
-def components(text: Column) -> Column:
+def components(text: Column, coded: Column | None = None) -> Column:
     """struct of house_number, road, city, region and postal_code found in an address.
 
     The road goes to the first street suffix, or over four words; the city is the word before the last state.
+    Five digits are a postal code; where coded holds (the code is known to stand elsewhere), they're a house number at the beginning of a road.
     """
 
     def found(words: Column) -> Column:
         first = F.get(words, F.lit(0))
-        house = F.when(first.rlike("[0-9]") & ~_zip(first), bare(first))
+        plain = ~_zip(first) if coded is None else ~_zip(first) | F.coalesce(coded & (F.array_min(_places(words, _suffix)) > 0), F.lit(False))
+        house = F.when(first.rlike("[0-9]") & plain, bare(first))
         state = F.array_max(_places(words, _state))
         end = F.coalesce(F.array_min(_places(words, _suffix)) + 1, F.least(F.size(words), F.lit(4)))
         begin = F.when(house.isNotNull(), 1).otherwise(0)
@@ -116,7 +118,7 @@ def components(text: Column) -> Column:
         city = F.when(state > 0, title(F.get(words, F.greatest(state - 1, F.lit(0)))))
         return F.struct(house.alias("house_number"), road.alias("road"), city.alias("city"), region.alias("region"), bare(code).alias("postal_code"))
 
-    return _bound(_words(text), found)
+    return bound(_words(text), found)
 
 
 def normal(text: Column) -> Column:
@@ -155,9 +157,9 @@ def canonical(parts: Column, country: Column | None = None) -> Column:
 def standardize(text: Column) -> Column:
     """struct<address, parts, display, canonical, key, score, valid> of a text."""
     def told(address: Column) -> Column:
-        return _bound(components(address), lambda parts: _bound(canonical(parts), lambda line: F.struct(address.alias("address"), parts.alias("parts"), display(parts).alias("display"), line.alias("canonical"), fnv1a_hex(line).alias("key"), score(parts).alias("score"), (score(parts) >= VALID).alias("valid"))))
+        return bound(components(address), lambda parts: bound(canonical(parts), lambda line: F.struct(address.alias("address"), parts.alias("parts"), display(parts).alias("display"), line.alias("canonical"), fnv1a_hex(line).alias("key"), score(parts).alias("score"), (score(parts) >= VALID).alias("valid"))))
 
-    return _bound(F.coalesce(span(text), F.btrim(text)), told)
+    return bound(F.coalesce(span(text), F.btrim(text)), told)
 
 
 def match_index(queries: DataFrame, index: DataFrame, limit: int = 5, least: float = 0.5) -> DataFrame:
@@ -227,7 +229,7 @@ def features(text: Column) -> Column:
         bi = F.transform(spans(F.size(words) - 1), lambda i: F.concat(F.lit("2:"), F.get(words, i - 1), F.lit(" "), F.get(words, i)))
         return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("1:"), w)), tri, bi))
 
-    return _bound(reference_words(text), made)
+    return bound(reference_words(text), made)
 
 
 def read_reference(records: DataFrame) -> DataFrame:
@@ -282,7 +284,7 @@ def lexical_vector(rows: DataFrame, id: str, text: str, dim: int = 128) -> DataF
     codes = F.transform(features(F.col(text)), lambda f: F.xxhash64(f))
     sign = lambda h: F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     sums = F.aggregate(codes, F.array_repeat(F.lit(0.0), dim), lambda v, h: F.transform(v, lambda x, i: x + F.when(i == F.pmod(h, F.lit(dim)), sign(h)).otherwise(0.0)))
-    return rows.select(id, _bound(sums, lambda v: _bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))).alias("vector"))
+    return rows.select(id, bound(sums, lambda v: bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))).alias("vector"))
 
 
 def component(text: Column, name: Column) -> Column:

@@ -125,7 +125,10 @@ def evidence(record: Column, embeddings: Column | None = None) -> Column:
 
 
 def parts_of(found: Column) -> Column:
-    """Components by the best evidence for each role; fields named number or street take precedence."""
+    """Components by the best evidence for each role; fields named number or street take precedence.
+
+    A line's first five digits before a road are its house number if the postal code has a field of its own.
+    """
 
     def best(role: str) -> Column:
         ranked = F.transform(F.filter(found, lambda e: e["role"] == role), lambda e, i: F.struct(e["score"].alias("score"), (-i).alias("place"), e["value"].alias("value")))
@@ -134,31 +137,34 @@ def parts_of(found: Column) -> Column:
     def last(word: str, digit: bool) -> Column:
         return F.try_element_at(F.filter(found, lambda e: _plain(e["path"]).contains(word) & (e["value"].rlike("[0-9]") == F.lit(digit))), F.lit(-1))["value"]
 
-    line, number, street = best("address_line1"), last("number", True), last("street", False)
-    parsed, role = address.components(line), best("address_role")
+    number, street, role = last("number", True), last("street", False), best("address_role")
     upper = lambda x: F.translate(x, LOWER, UPPER)
-    return F.struct(
-        best("customer").alias("customer"),
-        F.when(role.isNotNull(), _role_name(role)).alias("address_role"),
-        F.coalesce(bare(number), parsed["house_number"]).alias("house_number"),
-        F.coalesce(_title(street), parsed["road"], _title(line)).alias("road"),
-        _title(best("city")).alias("city"),
-        upper(best("region")).alias("region"),
-        best("postal_code").alias("postal_code"),
-        upper(best("country")).alias("country"),
-    )
+
+    def made(line: Column, code: Column, parsed: Column) -> Column:
+        return F.struct(
+            best("customer").alias("customer"),
+            F.when(role.isNotNull(), _role_name(role)).alias("address_role"),
+            F.coalesce(bare(number), parsed["house_number"]).alias("house_number"),
+            F.coalesce(_title(street), parsed["road"], _title(line)).alias("road"),
+            _title(best("city")).alias("city"),
+            upper(best("region")).alias("region"),
+            code.alias("postal_code"),
+            upper(best("country")).alias("country"),
+        )
+
+    held = F.struct(best("address_line1").alias("line"), best("postal_code").alias("code"))
+    return address.bound(held, lambda h: address.bound(address.components(h["line"], h["code"] != h["line"]), lambda parsed: made(h["line"], h["code"], parsed)))
 
 
 def standardize(record: Column, embeddings: Column | None = None) -> Column:
     """struct<parts, display, canonical, key, score, valid, evidence> of a JSON record."""
 
-    def made(found: Column) -> Column:
-        parts = parts_of(found)
-        line = address.canonical(parts, parts["country"])
-        score = address.score(parts)
-        return F.struct(parts.alias("parts"), address.display(parts, parts["country"]).alias("display"), line.alias("canonical"), fnv1a_hex(line).alias("key"), score.alias("score"), (score >= address.VALID).alias("valid"), found.alias("evidence"))
+    def made(found: Column, parts: Column, shown: Column) -> Column:
+        told = lambda line, score: F.struct(parts.alias("parts"), shown.alias("display"), line.alias("canonical"), fnv1a_hex(line).alias("key"), score.alias("score"), (score >= address.VALID).alias("valid"), found.alias("evidence"))
+        return address.bound(address.normal(shown), lambda line: told(line, address.score(parts)))
 
-    return F.transform(F.array(evidence(record, embeddings)), made)[0]
+    shown = lambda parts: address.display(parts, parts["country"])
+    return address.bound(evidence(record, embeddings), lambda found: address.bound(parts_of(found), lambda parts: address.bound(shown(parts), lambda line: made(found, parts, line))))
 
 
 def hints(record: Column) -> Column:

@@ -202,6 +202,12 @@ def test_structured_address_evidence(spark):
         assert rows[bad]["s"]["evidence"] == [] and rows[bad]["s"]["score"] == 0.0 and rows[bad]["h"] == []
 
 
+def test_house_numbers_of_five_digits_beside_a_postal_code(spark):
+    records = ['{"addr": "10001 oak street", "zip": "78701"}', '{"addr": "10001 oak street"}', '{"addr": "78701 austin", "zip": "78701"}']
+    rows = spark.createDataFrame(list(enumerate(records)), "i int, j string").select("i", fields.standardize(F.col("j"))["parts"].alias("p")).orderBy("i").collect()
+    assert [(r["p"]["house_number"], r["p"]["road"]) for r in rows] == [("10001", "Oak Street"), (None, "10001 Oak Street"), (None, "78701 Austin")]
+
+
 def test_embedding_evidence_reweighs(spark):
     df = spark.createDataFrame([('{"zip": "78701"}', [("$.zip", "postal_code", 7.0), ("$.zip", "postal_code", 0.1), ("$.other", "city", 1.0)])], "j string, e array<struct<path:string,role:string,score:double>>")
     got = df.select(F.explode(fields.evidence(F.col("j"), F.col("e"))).alias("x")).select("x.*").where("role = 'postal_code'").first()
