@@ -1,18 +1,24 @@
 """Deterministic canonical forms, template ids and similarity hashes as columns.
 
-Log masking, template ids, SimHash and Hamming distances are built-in
-expressions.  Canonical JSON (sorted keys, masked values) has no built-in form and
-is a pandas UDF over whole batches.
+Log masking, template ids and Hamming distances are built-in expressions.
+Canonical JSON (sorted keys, masked values) has no built-in form and is a pandas
+UDF over whole batches; so is SimHash, whose built-in form (simhash_inline, for rules)
+looks at every bit of every token by itself.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 MASK = "<*>"
 SPACE = r"[\p{IsWhite_Space}]+"
@@ -138,9 +144,14 @@ def _json_udf(schema: bool):
     return F.pandas_udf(run, "string")
 
 
+def json_masked(text: Column) -> Column:
+    """Canonical JSON with numbers and id-like strings masked; null where it isn't JSON."""
+    return _json_udf(False)(text)
+
+
 def json_hybrid(text: Column) -> Column:
     """Canonical JSON with numbers and id-like strings masked; log masking where it isn't JSON."""
-    return F.coalesce(_json_udf(False)(text), log_mask(text))
+    return F.coalesce(json_masked(text), log_mask(text))
 
 
 def json_schema(text: Column) -> Column:
@@ -148,9 +159,13 @@ def json_schema(text: Column) -> Column:
     return F.coalesce(_json_udf(True)(text), text)
 
 
+def looks_json(text: Column) -> Column:
+    return F.regexp(text, F.lit(r"^\s*[{\[]"))
+
+
 def canonical(text: Column) -> Column:
     """Auto mode: JSON if it looks like it and parses, else a log line."""
-    return F.when(F.regexp(text, F.lit(r"^\s*[{\[]")), json_hybrid(text)).otherwise(log_mask(text))
+    return F.when(looks_json(text), json_hybrid(text)).otherwise(log_mask(text))
 
 
 #: Strategies by name, each with the version that cache namespaces carry.
@@ -193,8 +208,66 @@ def fnv1a_hex(text: Column) -> Column:
     return F.lower(F.lpad(F.hex(fnv1a(text)), 16, "0"))
 
 
+#: Tokens are hashed and counted in runs of so many, whatever texts they come from.
+_RUN = 1 << 16
+_TOKEN_PY = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _fnv_of(tokens: list[bytes]) -> np.ndarray:
+    """FNV-1a 64 of each, one byte of all at a time; the last few long ones by themselves."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    order = np.argsort(sizes, kind="stable")
+    ordered, starts, data = sizes[order], np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
+    out, prime = np.full(len(tokens), (_HIGH << 32) | _LOW, np.uint64), (1 << 40) + _PRIME_LOW
+    at = 0
+    while len(left := order[np.searchsorted(ordered, at, "right") :]) > 16:
+        out[left] = (out[left] ^ data[starts[left] + at]) * np.uint64(prime)
+        at += 1
+    for i in left.tolist():
+        h = int(out[i])
+        for b in tokens[i][at:]:
+            h = (h ^ b) * prime & 0xFFFFFFFFFFFFFFFF
+        out[i] = h
+    return out
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Numbers of texts with their tokens, about _RUN tokens at once; a long text goes on in the next run."""
+    at, held, n = [], [], 0
+    for i, text in enumerate(texts):
+        found = (m.group() for m in _TOKEN_PY.finditer(text.as_py() or ""))
+        while part := list(islice(found, _RUN - n)):
+            at.append(i)
+            held.append(part)
+            n += len(part)
+            if n >= _RUN:
+                yield at, held
+                at, held, n = [], [], 0
+    if at:
+        yield at, held
+
+
+@F.arrow_udf(LongType())
+def _simhash(texts: pa.Array) -> pa.Array:
+    ones, n = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    for at, held in _runs(texts):
+        places: dict[str, int] = {}
+        index = np.fromiter((places.setdefault(t, len(places)) for part in held for t in part), np.int64)
+        bits = np.unpackbits(_fnv_of([t.encode("utf-8", "surrogatepass") for t in places]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sizes = np.fromiter(map(len, held), np.int64)
+        ones[at] += np.add.reduceat(bits[index], np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)  # a text comes once in a run
+        n[at] += sizes
+    words = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
+    return pa.array(words, pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
 def simhash(text: Column) -> Column:
     """SimHash-64 over the tokens' FNV-1a: bit i is set if more tokens have it than not."""
+    return _simhash(text)
+
+
+def simhash_inline(text: Column) -> Column:
+    """simhash() as a built-in expression, which may stand anywhere in a plan."""
     places = F.sequence(F.lit(0), F.lit(63))
     none = F.struct(F.array_repeat(F.lit(0), 64).alias("ones"), F.lit(0).alias("n"))
 
@@ -222,4 +295,4 @@ def near(a: Column, b: Column) -> Column:
 def register(registry) -> None:
     registry.register("m_canonical", "m", canonical, 1)
     registry.register("m_canon_id", "m", lambda x: fnv1a(canonical(x)), 1)
-    registry.register("s_canon_near", "s", lambda a, b: near(simhash(canonical(a)), simhash(canonical(b))), 2)
+    registry.register("s_canon_near", "s", lambda a, b: near(simhash_inline(canonical(a)), simhash_inline(canonical(b))), 2)

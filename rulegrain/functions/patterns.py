@@ -42,17 +42,16 @@ class PatternSet:
         return _KINDS.get(self.kind, canon.canonical)(text)
 
     def score(self, text: Column) -> Column:
-        """Score of a match, else null."""
+        """Score of a match, else null; built-in expressions, so that rules may ask for it."""
+        return _bound(self.form(text), lambda form: _bound(canon.simhash_inline(form), lambda h: self.scored(form, h)))
+
+    def scored(self, form: Column, hash: Column) -> Column:
+        """Score of a form with its similarity hash; its id is only made where the hash is an example's, as that of an equal form is."""
         if not self.ids:
             return F.lit(None).cast("double")
         known = F.array(*(F.lit(h).cast("long") for h in self.hashes))
-
-        def scored(form: Column) -> Column:
-            nearest = _bound(canon.simhash(form), lambda h: F.array_min(F.transform(known, lambda k: canon.hamming(k, h))))
-            near = _bound(nearest, lambda d: F.when(d <= self.threshold, 1 - d / 64))
-            return F.when(canon.fnv1a(form).isin(*self.ids), F.lit(1.0)).otherwise(near)
-
-        return _bound(self.form(text), scored)
+        near = _bound(F.array_min(F.transform(known, lambda k: canon.hamming(k, hash))), lambda d: F.when(d <= self.threshold, 1 - d / 64))
+        return F.when(hash.isin(*self.hashes) & canon.fnv1a(form).isin(*self.ids), F.lit(1.0)).otherwise(near)
 
 
 @dataclass
@@ -79,12 +78,30 @@ class Router:
             out = F.when(label == name, held.score(text)).otherwise(out)
         return out
 
-    def classify(self, text: Column) -> Column:
-        """Struct of label and score of the best set; null if none matches."""
+    def _scores(self, text: Column, labels: list[str]) -> Column:
+        """Scores of all sets, from the hashes of the log line and the JSON form, each made once."""
+        sets, made = [self.sets[x] for x in labels], {"log": canon.simhash(canon.log_mask(text))}
+        if any(s.kind != "log" for s in sets):
+            made |= {"form": canon.json_masked(text), "json": canon.simhash(canon.json_masked(text))}
+
+        def scored(held: PatternSet, of: Column) -> Column:
+            line, log = canon.log_mask(text), of["log"]
+            if held.kind == "log":
+                return held.scored(line, log)
+            form, hash = F.coalesce(of["form"], line), F.coalesce(of["json"], log)
+            if held.kind == "json":
+                return held.scored(form, hash)
+            looks = canon.looks_json(text)
+            return held.scored(F.when(looks, form).otherwise(line), F.when(looks, hash).otherwise(log))
+
+        return _bound(F.struct(*(c.alias(k) for k, c in made.items())), lambda of: F.array(*(scored(s, of) for s in sets)))
+
+    def classify(self, text: Column, inline: bool = False) -> Column:
+        """Struct of label and score of the best set; null if none matches.  inline: the similarity hashes are built-in expressions."""
         if not self.sets:
             return F.lit(None).cast("struct<label:string,score:double>")
         labels = sorted(self.sets)
-        names, scores = F.array(*(F.lit(x) for x in labels)), F.array(*(self.sets[x].score(text) for x in labels))
+        names, scores = F.array(*(F.lit(x) for x in labels)), F.array(*(self.sets[x].score(text) for x in labels)) if inline else self._scores(text, labels)
 
         def best(s: Column) -> Column:
             top = F.array_max(s)
@@ -96,4 +113,4 @@ class Router:
         """Makes the sets known to rules; sets added later aren't seen by plans that are already made."""
         registry.register("s_canon_match", "s", lambda text, label: F.coalesce(self.score(text, label), F.lit(0.0)), 2)
         registry.register("b_canon_matches", "b", lambda text, label: self.score(text, label).isNotNull(), 2)
-        registry.register("m_canon_label", "m", lambda text: F.coalesce(self.classify(text)["label"], F.lit("")), 1)
+        registry.register("m_canon_label", "m", lambda text: F.coalesce(self.classify(text, inline=True)["label"], F.lit("")), 1)

@@ -58,6 +58,28 @@ def test_simhash_matches_plain_counting(spark):
     assert got % 2**64 == want
 
 
+def test_simhash_of_odd_texts_and_long_ones(spark):
+    texts = ["", " \u2003\t", None, "a", "a\x1cb a\u3000b ü漢字 😀", "x" * 70_000 + " y", " ".join(f"w{i % 977}" for i in range(70_000)), *(f"number {i} of {i * i} and so on" for i in range(40))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    rows = df.select("t", canon.simhash(F.col("t")).alias("a"), canon.simhash_inline(F.when(F.length("t") < 100, F.col("t"))).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows if r["t"] is None or len(r["t"]) < 100) and len(rows) == len(texts)
+    counts = [0] * 64
+    for word in texts[6].split():
+        h = 0xCBF29CE484222325
+        for b in word.encode():
+            h = ((h ^ b) * 0x100000001B3) % 2**64
+        counts = [c + (h >> i & 1) for i, c in enumerate(counts)]
+    assert next(r["a"] for r in rows if r["t"] == texts[6]) % 2**64 == sum(1 << i for i in range(64) if counts[i] > 35_000)
+
+
+def test_similarity_hashes_of_documents_are_made_in_batches(spark, sf):
+    from rulegrain.queries import queries
+
+    for name in ("canon_route",):
+        plan = queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "zip_with" not in plan
+
+
 def test_near_duplicates_against_all_pairs(spark):
     import random
 
