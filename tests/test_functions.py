@@ -75,7 +75,7 @@ def test_simhash_of_odd_texts_and_long_ones(spark):
 def test_similarity_hashes_of_documents_are_made_in_batches(spark, sf):
     from rulegrain.queries import queries
 
-    for name in ("canon_route",):
+    for name in ("canon_route", "near_dup_first", "simhash"):
         plan = queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan and "zip_with" not in plan
 
