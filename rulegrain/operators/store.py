@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegrain.functions.vector import METRICS, literal
+from rulegrain.operators.scratch import materialise
 
 
 # -- scans
@@ -326,11 +327,30 @@ def sessions(events: DataFrame, session: str) -> DataFrame:
     return events.select(session).where(F.col(session).isNotNull()).distinct().orderBy(session)
 
 
-def timings(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, p50, p95, p99 and max of measured values; percentiles are the nearest-rank ones, approximate beyond 10,000 values a group."""
-    p = F.percentile_approx(value, [0.5, 0.95, 0.99], 10_000)
-    out = samples.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("max"))
-    return out.select(*by, "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max")
+def timings(samples: DataFrame, by: list[str], value: str, bins: int = 64) -> DataFrame:
+    """n, mean, p50, p95, p99 and max of measured values; percentiles are the nearest-rank ones, exact for any number of values.
+
+    A group's distinct values are counted and dealt to bins at approximate percentiles; only the bins that hold a wanted rank are put in order.
+    """
+    kept = samples.select(F.struct(*by).alias("__key"), F.col(value).alias("__v"))
+    cuts = F.percentile_approx("__v", [i / bins for i in range(1, bins)], 1000)
+    groups = kept.groupBy("__key").agg(F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.max("__v").alias("max"), cuts.alias("__cuts"))
+    groups = materialise(groups, "timings-groups")
+    bin_of = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
+    counted = kept.where("__v is not null").groupBy("__key", "__v").agg(F.count(F.lit(1)).alias("__m")).join(groups.select("__key", "__cuts"), "__key")
+    counted = materialise(counted.select("__key", "__v", "__m", bin_of.alias("__bin")), "timings-values")
+    # at most `bins` rows a group: how many values stand in earlier bins
+    upto = F.sum("__size").over(Window.partitionBy("__key").orderBy("__bin"))
+    sizes = counted.groupBy("__key", "__bin").agg(F.sum("__m").alias("__size")).withColumn("__upto", upto)
+    ranks = F.array(*(F.struct(F.lit(p).alias("p"), F.expr(f"(n * {p} + 99) div 100").alias("r")) for p in (50, 95, 99)))
+    wanted = sizes.join(groups.select("__key", "n"), "__key").withColumn("__rank", F.explode(ranks))
+    wanted = wanted.where((F.col("__rank.r") > F.col("__upto") - F.col("__size")) & (F.col("__rank.r") <= F.col("__upto")))
+    wanted = wanted.groupBy("__key", "__bin").agg(F.first(F.col("__upto") - F.col("__size")).alias("__before"), F.collect_list("__rank").alias("__ranks"))
+    place = F.sum("__m").over(Window.partitionBy("__key", "__bin").orderBy("__v"))
+    ordered = counted.join(wanted, ["__key", "__bin"]).withColumn("__end", F.col("__before") + place)
+    hit = lambda p: F.max(F.when(F.exists("__ranks", lambda x: (x["p"] == p) & (x["r"] <= F.col("__end")) & (x["r"] > F.col("__end") - F.col("__m"))), F.col("__v")))
+    found = ordered.groupBy("__key").agg(*(hit(p).alias(f"p{p}") for p in (50, 95, 99)))
+    return groups.join(found, "__key", "left").select("__key.*", "n", "mean", "p50", "p95", "p99", "max")
 
 
 def near_duplicates(rows: DataFrame, id: str, hash: str, threshold: int = 3, blocks: int = 6) -> DataFrame:

@@ -161,3 +161,18 @@ def test_stream_gives_what_the_batch_gives(spark, sf, tmp_path):
     run.awaitTermination()
     got = sorted((str(r["window_start"]), r["event_type"], r["n"]) for r in spark.table("windows").collect())
     assert got == sorted((str(r["window_start"]), r["event_type"], r["n"]) for r in agg(batch, None).collect())
+
+
+def test_timings_are_exact_whatever_the_number_of_values(spark):
+    import random
+
+    rng = random.Random(6)
+    groups = {"many": [rng.random() for _ in range(30_000)], "few": [3.0, 1.0, 2.0], "equal": [5.0] * 300 + [7.0], "odd": [float("nan"), 1.0, -0.5], None: [float(i) for i in range(100)], "none": [None, None]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    got = {r["k"]: r for r in store.timings(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v").collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        vs = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
+        at = lambda p: repr(vs[-(-p * len(vs) // 100) - 1]) if vs else repr(None)  # noqa: B023, E731
+        assert got[k]["n"] == len(vs) and [repr(got[k][f"p{p}"]) for p in (50, 95, 99)] == [at(p) for p in (50, 95, 99)], k
+        assert repr(got[k]["max"]) == (repr(vs[-1]) if vs else "None")
