@@ -20,6 +20,8 @@ VALID = 0.72
 PARTS = tuple(WEIGHTS)
 #: Tokens and components of more index rows than this are met as profiles.
 HOT = 64
+#: Weight of resemblance in a reference match; lengths of the pieces by which names are looked up; so many aliases are broadcast.
+LEXICAL, GRAMS, FEW = 0.35, (1, 2, 3, 6, 12, 24), 5_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -250,33 +252,45 @@ def reference_match(texts: DataFrame, reference: DataFrame, least: float = 0.42,
     another, 0.92 if its letters do, without spaces; lexical: the share of its features the text has.  Of a record the
     alias of the highest exact, then lexical score counts.
 
-    An alias meets a text by its rarest features, as many as one must be among for the share `similar` to be
-    reached, and by its rarest trigram without spaces; what all texts have in common pairs nothing.
+    An alias meets a text by its rarest piece of letters without spaces, pieces being as long as fits of GRAMS; and, where
+    resemblance alone can reach `least`, by its rarest features, as many as one must be among for the share
+    `similar` to be reached.  What all texts have in common pairs nothing.  Equal texts are matched once.
     """
-    grams = lambda x, n: F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: i + n - 1 <= F.length(x)), lambda i: F.concat(F.lit("c:"), F.substring(x, i, n))))
+    hashed = lambda x: F.transform(x, lambda f: F.xxhash64(f))  # noqa: E731  equal hashes only propose a pair
+    spans = lambda x, n: F.filter(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(x))
+    grams = lambda x, n: F.array_distinct(F.transform(spans(x, n), lambda i: F.xxhash64(F.concat(F.lit("c:"), F.substring(x, i, n)))))
+    alike = least <= LEXICAL  # else only what stands in the text scores enough
     r = reference.select("ref_id", "kind", "name", F.posexplode(F.array_distinct("aliases")).alias("a", "alias"))
     r = r.withColumns({"rf": features(F.col("alias")), "rn": F.array_join(reference_words(F.col("alias")), " ")}).where("rn <> ''").withColumn("rc", F.replace("rn", F.lit(" ")))
-    r = materialise(r.withColumn("cf", grams(F.col("rc"), F.least(F.length("rc"), F.lit(3)))), "match-reference")
-    t = texts.select("id", features(F.col("text")).alias("tf"), F.array_join(reference_words(F.col("text")), " ").alias("tn")).where("tn <> ''").withColumn("tc", F.replace("tn", F.lit(" ")))
-    t = materialise(t, "match-texts")
-    emitted = t.select("id", F.explode(F.concat("tf", *(grams(F.col("tc"), F.lit(n)) for n in (1, 2, 3)))).alias("f"))
-    wanted = r.select("ref_id", "a", F.size("rf").alias("n"), F.explode(F.concat("rf", "cf")).alias("f"))
-    known = emitted.join(wanted.select("f").distinct(), "f", "left_semi")
+    r = r.withColumn("size", reduce(lambda out, n: F.when(F.length("rc") >= n, n).otherwise(out), GRAMS, F.lit(1))).withColumn("rid", F.monotonically_increasing_id())
+    r = materialise(r, "match-reference")
+    t = texts.select("text").distinct().withColumns({"tf": features(F.col("text")), "tn": F.array_join(reference_words(F.col("text")), " ")}).where("tn <> ''")
+    t = materialise(t.withColumns({"tc": F.replace("tn", F.lit(" ")), "tid": F.monotonically_increasing_id()}), "match-texts")
+    # Written tables look small to the planner where their rows repeat, so it is told which to broadcast
+    beside = F.broadcast if r.count() <= FEW else lambda rows: rows.hint("merge")
+    sizes = sorted(x[0] for x in r.select("size").distinct().collect())  # of GRAMS
+    pieces = [grams(F.col("tc"), F.lit(n)) for n in sizes] + ([hashed("tf")] if alike else [])
+    emitted = t.select("tid", F.explode(F.concat(F.array().cast("array<bigint>"), *pieces)).alias("f"))
+    one = lambda letters, f: F.struct(F.lit(letters).alias("letters"), f.alias("f"))
+    own = [F.transform(grams(F.col("rc"), F.col("size")), lambda f: one(True, f))] + ([F.transform(hashed("rf"), lambda f: one(False, f))] if alike else [])
+    wanted = r.select("rid", F.size("rf").alias("n"), F.explode(F.concat(*own)).alias("w")).select("rid", "n", "w.*")
+    known = emitted.join(beside(wanted.select("f").distinct()), "f", "left_semi")
     often = known.groupBy("f").count()
-    side = F.startswith("f", F.lit("c:"))
-    rank = F.row_number().over(Window.partitionBy("ref_id", "a", side).orderBy(F.coalesce("count", F.lit(0)), "f"))
+    rank = F.row_number().over(Window.partitionBy("rid", "letters").orderBy(F.coalesce("count", F.lit(0)), "f"))
     probes = wanted.join(often, "f", "left").withColumn("rank", rank)
-    probes = probes.where(F.when(side, F.col("rank") == 1).otherwise(F.col("rank") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1)).select("ref_id", "a", "f")
-    met = known.join(probes, "f").select("id", "ref_id", "a").distinct()
-    both = met.join(t, "id").join(r, ["ref_id", "a"])
+    probes = probes.where(F.when(F.col("letters"), F.col("rank") == 1).otherwise(F.col("rank") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1)).select("rid", "f")
+    met = known.join(beside(probes), "f").select("tid", "rid").distinct()
+    both = met.join(t.hint("merge"), "tid").join(beside(r), "rid")
     phrase = F.contains(F.concat(F.lit(" "), "tn", F.lit(" ")), F.concat(F.lit(" "), "rn", F.lit(" ")))
     enough = F.size(F.split("tn", " ")) >= F.size(F.split("rn", " "))
     exact = F.when(phrase, 1.0).when(enough & F.contains("tc", F.col("rc")), 0.92).otherwise(0.0)
-    lexical = F.round(F.size(F.array_intersect("rf", "tf")) / F.size("rf"), 6)
-    both = both.withColumns({"exact": exact, "lexical": lexical}).where((F.col("exact") > 0) | (F.col("lexical") >= similar))
-    best = both.groupBy("id", "ref_id", "kind", "name").agg(F.max(F.struct("exact", "lexical", "alias")).alias("b"))
-    out = best.select("id", "ref_id", "kind", "name", "b.alias", "b.exact", "b.lexical")
-    return out.withColumn("score", F.round(0.65 * F.col("exact") + 0.35 * F.col("lexical"), 6)).where(F.col("score") >= least)
+    both = both.withColumn("exact", exact).where(F.lit(alike) | (F.col("exact") > 0))
+    both = both.withColumn("lexical", F.round(F.size(F.array_intersect("rf", "tf")) / F.size("rf"), 6)).where((F.col("exact") > 0) | (F.col("lexical") >= similar))
+    best = lambda rows, key, *of: rows.groupBy(key, "ref_id", "kind", "name").agg(F.max(F.struct(*of)).alias("b"))
+    found = best(both, "text", "exact", "lexical", "alias")
+    found = best(texts.where("id is not null").select("id", "text").join(found, "text"), "id", "b.exact", "b.lexical", "b.alias")
+    out = found.select("id", "ref_id", "kind", "name", "b.alias", "b.exact", "b.lexical")
+    return out.withColumn("score", F.round((1 - LEXICAL) * F.col("exact") + LEXICAL * F.col("lexical"), 6)).where(F.col("score") >= least)
 
 
 def lexical_vector(rows: DataFrame, id: str, text: str, dim: int = 128) -> DataFrame:

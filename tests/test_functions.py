@@ -302,6 +302,20 @@ def test_reference_match_against_all_pairs(spark):
     assert {(r["id"], r["ref_id"], r["kind"], r["name"], round(r["exact"], 2), round(r["lexical"], 6)) for r in got} == {x[:6] for x in want} and len(got) == len(want)
 
 
+def test_reference_match_keeps_to_alike_names_and_shuffles_texts(spark):
+    names = [f"Supplier#{i:09d}" for i in range(40)] + ["Oak", "oak tree works", "a"]
+    ref = address.read_reference(spark.createDataFrame([(n, n) for n in names], "id string, name string"))
+    said = [f"ship to {n} road" for n in names[:20]] * 2 + ["an oak", "the tree works of oaks", None]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(said)] + [(None, "an oak")], "id long, text string")
+    found = address.reference_match(texts, ref)
+    exact = {(r["id"], r["name"]) for r in found.collect()}
+    assert exact == {(i, t[8:-5]) for i, t in enumerate(said[:40])} | {(40, "Oak")} | {(i, "a") for i, t in enumerate(said) if t and "a" in t} | {(41, "Oak")}
+    alike = {(r["id"], r["name"]) for r in address.reference_match(texts, ref, least=0.2).collect() if r["exact"] == 0}
+    assert {n for i, n in alike if i == 0} == set(names[1:40]) and (41, "oak tree works") in alike
+    # a table of texts that repeat looks small when it is written: it must never be broadcast
+    assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_index_functions_in_rules(spark):
     from rulegrain.plans.forward import Context, evaluate
 
