@@ -18,6 +18,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bound(x: Column, make) -> Column:
+    """make(x), with x worked out once; what a lambda names is worked out anew for each element."""
+    return F.transform(F.array(x), make)[0]
+
+
 def zipped(a: Column, b: Column, make) -> Column:
     """make of the components, pair by pair; vectors of different lengths are an error, a null vector gives null."""
     wrong = F.raise_error(F.concat(F.lit("vectors of dimensions "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
@@ -60,8 +65,7 @@ def scale(a: Column, k: Column | float) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit vector; null for a zero or non-finite norm."""
-    n = norm(a)
-    return F.when((n > 0) & (n < float("inf")), F.transform(doubles(a), lambda x: x / n))
+    return bound(norm(a), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(doubles(a), lambda x: x / n)))
 
 
 def valid(v: Column, dim: int | None = None) -> Column:
@@ -115,16 +119,18 @@ def percentile_among(raw: Column, scores: list[float]) -> Column:
     array = lambda xs, kind: F.split(F.lit(",".join(repr(x) for x in xs)), ",").cast(f"array<{kind}>")
     lasts = array(points[size - 1 :: size].tolist(), "double")
     values, counts = array(points.tolist(), "double"), array([*below.tolist(), len(scores)], "bigint")
-    ahead = F.size(F.filter(lasts, lambda x: x < raw)) * size
-    block = F.slice(values, ahead + 1, size)
-    at = ahead + F.size(F.filter(block, lambda x: x < raw))
-    held = F.size(F.filter(block, lambda x: x == raw))
-    lower = F.element_at(counts, at + 1)
-    return 100.0 * (lower + (F.element_at(counts, at + 1 + held) - lower) / 2) / len(scores)
+
+    def found(s: Column, ahead: Column) -> Column:
+        block = F.slice(values, ahead + 1, size)
+        at = ahead + F.size(F.filter(block, lambda x: x < s))
+        held = F.size(F.filter(block, lambda x: x == s))
+        return bound(F.struct(F.element_at(counts, at + 1).alias("lower"), F.element_at(counts, at + 1 + held).alias("upper")), lambda c: 100.0 * (c["lower"] + (c["upper"] - c["lower"]) / 2) / len(scores))
+
+    return bound(raw, lambda s: bound(F.size(F.filter(lasts, lambda x: x < s)) * size, lambda ahead: found(s, ahead)))
 
 
 def project(v: Column, direction: Column) -> Column:
-    return dot(normalize(v), direction)
+    return bound(normalize(v), lambda u: dot(u, direction))
 
 
 def depth(v: Column, region) -> Column:

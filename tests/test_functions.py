@@ -375,6 +375,13 @@ def test_address_match_searches_every_supplier(spark, sf, tmp_path):
     assert {r["query_id"] for r in got} == set(range(1, 91)) and all(r["rank"] > 1 or r["query_id"] == r["id"] for r in got)
 
 
+def test_percentile_works_a_score_out_once(spark):
+    score = vector.project(F.array("s", F.lit(1.0)), vector.literal([1.0, 0.0]))
+    df = spark.range(20).select((F.col("id") / 20.0).alias("s")).select(vector.percentile_among(score, [i / 3000 for i in range(3000)]).alias("p"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1 and plan.count("SQRT") == 1  # in a lambda it would be worked out for every score it meets
+
+
 def test_percentile_is_exact_among_many_scores(spark):
     angle = F.pmod(F.col("id") * 7919, F.lit(12000)) / 8000.0
     df = spark.range(24001).select("id", F.array(F.cos(angle), F.sin(angle)).alias("embedding"))
