@@ -245,6 +245,25 @@ def read_reference(records: DataFrame) -> DataFrame:
     return records.select(F.coalesce(col("id"), F.concat(kind, F.lit(":"), place.cast("string"))).alias("ref_id"), kind.alias("kind"), name.alias("name"), aliases.alias("aliases")).where("name <> ''")
 
 
+def _meetings(t: DataFrame, r: DataFrame, beside, alike: bool, similar: float) -> DataFrame:
+    """(tid, rid) of the texts and aliases that may match; alike: also those that only resemble one another."""
+    hashed = lambda x: F.transform(x, lambda f: F.xxhash64(f))  # noqa: E731  equal hashes only propose a pair
+    spans = lambda x, n: F.filter(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(x))
+    grams = lambda x, n: F.array_distinct(F.transform(spans(x, n), lambda i: F.xxhash64(F.concat(F.lit("c:"), F.substring(x, i, n)))))
+    sizes = sorted(x[0] for x in r.select("size").distinct().collect())  # of GRAMS
+    pieces = [grams(F.col("tc"), F.lit(n)) for n in sizes] + ([hashed("tf")] if alike else [])
+    emitted = t.select("tid", F.explode(F.concat(F.array().cast("array<bigint>"), *pieces)).alias("f"))
+    one = lambda letters, f: F.struct(F.lit(letters).alias("letters"), f.alias("f"))
+    own = [F.transform(grams(F.col("rc"), F.col("size")), lambda f: one(True, f))] + ([F.transform(hashed("rf"), lambda f: one(False, f))] if alike else [])
+    wanted = r.select("rid", F.size("rf").alias("n"), F.explode(F.concat(*own)).alias("w")).select("rid", "n", "w.*")
+    known = emitted.join(beside(wanted.select("f").distinct()), "f", "left_semi")
+    often = known.groupBy("f").count()
+    rank = F.row_number().over(Window.partitionBy("rid", "letters").orderBy(F.coalesce("count", F.lit(0)), "f"))
+    probes = wanted.join(often, "f", "left").withColumn("rank", rank)
+    probes = probes.where(F.when(F.col("letters"), F.col("rank") == 1).otherwise(F.col("rank") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1)).select("rid", "f")
+    return known.join(beside(probes), "f").select("tid", "rid").distinct()
+
+
 def reference_match(texts: DataFrame, reference: DataFrame, least: float = 0.42, similar: float = 0.45) -> DataFrame:
     """(id, ref_id, kind, name, alias, exact, lexical, score): names and aliases that a text holds or resembles.
 
@@ -256,9 +275,6 @@ def reference_match(texts: DataFrame, reference: DataFrame, least: float = 0.42,
     resemblance alone can reach `least`, by its rarest features, as many as one must be among for the share
     `similar` to be reached.  What all texts have in common pairs nothing.  Equal texts are matched once.
     """
-    hashed = lambda x: F.transform(x, lambda f: F.xxhash64(f))  # noqa: E731  equal hashes only propose a pair
-    spans = lambda x, n: F.filter(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(x))
-    grams = lambda x, n: F.array_distinct(F.transform(spans(x, n), lambda i: F.xxhash64(F.concat(F.lit("c:"), F.substring(x, i, n)))))
     alike = least <= LEXICAL  # else only what stands in the text scores enough
     r = reference.select("ref_id", "kind", "name", F.posexplode(F.array_distinct("aliases")).alias("a", "alias"))
     r = r.withColumns({"rf": features(F.col("alias")), "rn": F.array_join(reference_words(F.col("alias")), " ")}).where("rn <> ''").withColumn("rc", F.replace("rn", F.lit(" ")))
@@ -268,18 +284,7 @@ def reference_match(texts: DataFrame, reference: DataFrame, least: float = 0.42,
     t = materialise(t.withColumns({"tc": F.replace("tn", F.lit(" ")), "tid": F.monotonically_increasing_id()}), "match-texts")
     # Written tables look small to the planner where their rows repeat, so it is told which to broadcast
     beside = F.broadcast if r.count() <= FEW else lambda rows: rows.hint("merge")
-    sizes = sorted(x[0] for x in r.select("size").distinct().collect())  # of GRAMS
-    pieces = [grams(F.col("tc"), F.lit(n)) for n in sizes] + ([hashed("tf")] if alike else [])
-    emitted = t.select("tid", F.explode(F.concat(F.array().cast("array<bigint>"), *pieces)).alias("f"))
-    one = lambda letters, f: F.struct(F.lit(letters).alias("letters"), f.alias("f"))
-    own = [F.transform(grams(F.col("rc"), F.col("size")), lambda f: one(True, f))] + ([F.transform(hashed("rf"), lambda f: one(False, f))] if alike else [])
-    wanted = r.select("rid", F.size("rf").alias("n"), F.explode(F.concat(*own)).alias("w")).select("rid", "n", "w.*")
-    known = emitted.join(beside(wanted.select("f").distinct()), "f", "left_semi")
-    often = known.groupBy("f").count()
-    rank = F.row_number().over(Window.partitionBy("rid", "letters").orderBy(F.coalesce("count", F.lit(0)), "f"))
-    probes = wanted.join(often, "f", "left").withColumn("rank", rank)
-    probes = probes.where(F.when(F.col("letters"), F.col("rank") == 1).otherwise(F.col("rank") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1)).select("rid", "f")
-    met = known.join(beside(probes), "f").select("tid", "rid").distinct()
+    met = _meetings(t, r, beside, alike, similar)
     both = met.join(t.hint("merge"), "tid").join(beside(r), "rid")
     phrase = F.contains(F.concat(F.lit(" "), "tn", F.lit(" ")), F.concat(F.lit(" "), "rn", F.lit(" ")))
     enough = F.size(F.split("tn", " ")) >= F.size(F.split("rn", " "))

@@ -316,6 +316,23 @@ def test_reference_match_keeps_to_alike_names_and_shuffles_texts(spark):
     assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_names_with_common_words_meet_few_texts(spark, monkeypatch):
+    met, plain = [], address._meetings
+
+    def told(*args):
+        met.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(address, "_meetings", told)
+    s = spark.range(300).select("id", F.format_string("Supplier#%09d", "id").alias("name"))
+    text = F.concat(F.lit("Please ship to "), F.col("id").cast("string"), F.lit(" Birch "), F.col("name"), F.lit(" Road Springfield IL 62701"))
+    rows = s.select("id", text.alias("text"))
+    index = address.index_records(rows.withColumn("id", F.col("id").cast("string")), "id", "text")
+    out = address.verify(rows, "text", "", index, address.read_reference(s))
+    assert out.where(F.size("reference_matches") == 1).where(F.col("reference_matches")[0]["name"] == F.format_string("Supplier#%09d", "id")).count() == 300
+    assert met and all(n <= 2 * 300 for n in met)  # not 300 * 300
+
+
 def test_index_functions_in_rules(spark):
     from rulegrain.plans.forward import Context, evaluate
 
