@@ -360,6 +360,7 @@ def near_duplicates(rows: DataFrame, id: str, hash: str, threshold: int = 3, blo
     equi-join on every choice of blocks - threshold blocks finds all pairs (with 6 blocks and 3 bits: 20 keys of about 32 bits).
     Rows of equal hash are one candidate, and a hash only looks for those that stand earlier.
     """
+    rows = materialise(rows.select(id, hash), "near-rows")  # hashes may cost much, and are read more than once
     edge = [64 * i // blocks for i in range(blocks + 1)]
     firsts = rows.groupBy(F.col(hash).alias("h")).agg(F.min(id).alias("first"))
     mask = lambda chosen: sum(((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in chosen)
@@ -367,7 +368,7 @@ def near_duplicates(rows: DataFrame, id: str, hash: str, threshold: int = 3, blo
     key = [F.struct(F.lit(n).alias("choice"), F.col("h").bitwiseAND(F.lit(signed(mask(c))).cast("long")).alias("bits")) for n, c in enumerate(combinations(range(blocks), blocks - threshold))]
     banded = firsts.withColumn("key", F.explode(F.array(*key)))
     a, b = banded.select(F.col("h").alias("ha"), F.col("first").alias("fa"), "key"), banded.select(F.col("h").alias("hb"), F.col("first").alias("fb"), "key")
-    near = a.join(b, "key").where((F.col("fb") < F.col("fa")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= threshold)).groupBy("ha").agg(F.min("fb").alias("near"))
+    near = a.join(b.hint("merge"), "key").where((F.col("fb") < F.col("fa")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= threshold)).groupBy("ha").agg(F.min("fb").alias("near"))
     known = firsts.join(near, F.col("h") == F.col("ha"), "left").select("h", "first", F.least("first", F.coalesce("near", "first")).alias("least"))
     # a class of equal hashes: its later rows point at its first, and all at an earlier near one.  Rows before the class's first near one don't exist.
     out = rows.select(F.col(id), F.col(hash).alias("h")).join(known, "h")
